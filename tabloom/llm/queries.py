@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import ppm_language
+from tabloom.llm import jaccard_join, ppm_language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ppm_language.language_model(docs)
     found = ppm_language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (ppm_language.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(C.table(spark, sf_dir, "documents"))
