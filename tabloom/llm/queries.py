@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import decontaminate, jaccard_join, ppm_language
-from tabloom.llm import _core as C
-from tabloom.llm import decontaminate, jaccard_join, ppm_language
+from tabloom.llm import decontaminate, feistel_pii, jaccard_join, ppm_language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +49,9 @@ SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS item_shingles, count(*
 FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.g = i.g JOIN n ON n.id = i.id
 GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n.n)
 """
+
+
+@query
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = feistel_pii.pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"))
