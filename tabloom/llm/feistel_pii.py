@@ -141,9 +141,10 @@ def phone(s: str, key: bytes) -> str | None:
     d = re.sub(r"\D", "", s)
     american = d[-10:] if len(d) == 10 or len(d) == 11 and d[0] == "1" else ""
     high = "23456789"
+    if american and (american[0] not in high or american[3] not in high):
+        # no number of the plan: with its + it is still a number of that length, permuted among such numbers
+        return refill(s, d[:-10] + swap(american, [DIGITS] * 10, key, "phone+", lambda x: x[0] not in high or x[3] not in high)) if s.startswith("+") else None
     if american:
-        if american[0] not in high or american[3] not in high:
-            return None
         alphabets = [high if i in (0, 3) else DIGITS for i in range(10)]
         return refill(s, d[:-10] + swap(american, alphabets, key, "phone"))
     if not (s.startswith("+") and 8 <= len(d) <= 15):
