@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import decontaminate, feistel_pii, jaccard_join, ppm_language
+from tabloom.llm import decontaminate, feistel_pii, jaccard_join, ppm_language, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
@@ -55,3 +61,8 @@ GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n.n)
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = feistel_pii.pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"))
+
+
+@query
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(C.table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
