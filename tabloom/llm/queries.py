@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import decontaminate, feistel_pii, jaccard_join, ppm_language, vector_packing
+from tabloom.llm import decontaminate, feistel_pii, jaccard_join, katz, ppm_language, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(C.table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+
+
+@query
+def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("held_out", ppm_language.fold(F.col("doc_id"), 10) == 0), "held_out")
