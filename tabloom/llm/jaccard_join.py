@@ -302,7 +302,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     )
     apart = 100 - percent
     facts = C.settle(
-        facts.withColumn("hard_own", F.expr(f"own <= floor(n * {apart} / {percent})")).withColumn("hard_low", F.expr(f"low <= floor(2 * n * {apart} / {100 + percent})")), "facts"
+        facts.withColumn("hard_own", F.expr(f"own <= floor(n * {apart} / {percent})")).withColumn("hard_low", F.expr(f"n * {percent} <= 100 * (shiftleft(1L, band) - 1) and low <= floor(2 * n * {apart} / {100 + percent})")), "facts"
     )
 
     def with_facts(pairs: DataFrame) -> DataFrame:
@@ -345,8 +345,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     parts_of = C.settle(C.components(chain), "parts")
 
     # what is left: sets with too few cold segments, in the same hot segment but in different components
-    hard_ids = facts.where("hard_own or hard_low").select("id", "rep", "n").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("seg"), F.col("b").alias("id")).join(hard_ids, "id")
+    hard_ids = facts.where("hard_own or hard_low").select("id", "rep", "n", "hard_own", "hard_low").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", "hard_own", "hard_low", F.coalesce("component", "rep").alias("c"))
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("seg"), F.col("b").alias("id"), F.col("alike").alias("role")).join(hard_ids, "id")
+    members = members.where("if(role = 0, hard_own, hard_low)").select("seg", "id", "n", "c")
     mixed = members.groupBy("seg").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("seg")
     members = C.settle(members.join(C.settle(mixed, "mixed"), "seg"), "members")
     if not members.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import decontaminate, feistel_pii, jaccard_join, katz, ppm_language, vector_packing
+from tabloom.llm import decontaminate, feistel_pii, jaccard_join, katz, ppm_language, url_markov, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,12 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return katz.score(docs.withColumn("held_out", ppm_language.fold(F.col("doc_id"), 10) == 0), "held_out")
+
+
+#: The rules of the query's contract.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(C.table(spark, sf_dir, "pages"), URL_RULES)
