@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import cover_tree, decontaminate, feistel_pii, jaccard_join, katz, ppm_language, url_markov, vector_packing
+from tabloom.llm import cover_tree, decontaminate, feistel_pii, host_paths, jaccard_join, katz, ppm_language, url_markov, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(C.table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(C.table(spark, sf_dir, "pages"))
