@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm import cover_tree, decontaminate, feistel_pii, host_paths, jaccard_join, katz, ppm_language, url_markov, vector_packing
+from tabloom.llm import cover_tree, decontaminate, feistel_pii, host_paths, jaccard_join, katz, ppm_language, suffix_dedup, url_markov, vector_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,10 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_paths.extract(C.table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"), with_kept=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
