@@ -225,6 +225,19 @@ def sum_runs(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: What stands for a missing key among packed ones.
+NO_KEY = -(1 << 63)
+
+
+def pack_keys(column: pa.Array) -> bytes:
+    """A column of whole numbers as bytes, missing ones marked."""
+    return np.asarray(column.cast(pa.int64()).fill_null(NO_KEY)).tobytes()
+
+
+def unpack_keys(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys, mask=keys == NO_KEY)
+
+
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
@@ -271,3 +284,17 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     if nodes is None:
         return found.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index each of n nodes is connected to by the links (i, j)."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new

@@ -10,7 +10,7 @@ decide. Large nodes are split into blocks by hash, so no task depends on the siz
 Equal vectors of a label are one class from the start, counted by their number. A task reports the number of links of each
 class and a spanning forest of what it has linked, never all pairs.
 
-Defined results: null labels, null or zero vectors and those with null or non-finite components have no links and are their
+Defined results: null ids or labels, null or zero vectors and those with null or non-finite components have no links and are their
 own component; vectors of different lengths are not compared; repeated rows are equal vectors and link; other columns are
 ignored.
 """
@@ -39,9 +39,9 @@ def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, vector) to (id, label, vec: the doubles as bytes, null if the vector takes no part)."""
     for b in batches:
         out = []
-        for label, x in zip(b.column(1), b.column(2), strict=True):
+        for i, label, x in zip(b.column(0), b.column(1), b.column(2), strict=True):
             raw = None
-            if label.is_valid and x.is_valid and len(x) and x.values.null_count == 0:
+            if i.is_valid and label.is_valid and x.is_valid and len(x) and x.values.null_count == 0:
                 v = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
                 top = np.abs(v).max()
                 if np.isfinite(top) and top > 0:
@@ -118,20 +118,6 @@ def traverse(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iter
             yield i, j
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index each of n nodes is connected to by the links (i, j)."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def link_blocks(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -155,7 +141,7 @@ def link_blocks(threshold: float):
             out_id += [ids, other]
             out_n += [np.bincount(i, m[j], len(ids)).astype(np.int64), np.bincount(j, n[i], len(other)).astype(np.int64)]
             every = ids if same else np.concatenate([ids, other])
-            low = forest(len(every), i, j if same else j + len(ids))
+            low = C.forest(len(every), i, j if same else j + len(ids))
             k = np.flatnonzero(low != np.arange(len(low)))
             edge_a.append(every[k])
             edge_b.append(every[low[k]])

@@ -14,7 +14,8 @@ unknown word. A context whose counts are all above 5 keeps half a count for unse
 beginning of the text.
 
 Words and bigrams are 64-bit hashes. Defined results: null or empty texts are one end token; repeated rows are each counted;
-with no training rows every word is unknown and has probability 1; other columns are ignored.
+with no training rows every word is unknown and has probability 1; a row without a key or
+fold is scored and teaches like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def read_blocks(docs: DataFrame, key: str, text: str, held_out: str) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block], pa.int64()),
-                        C.binary_array([np.asarray(b.column(0).slice(lo, hi - lo)).astype(np.int64).tobytes()]),
-                        C.binary_array([np.asarray(b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False)).astype(np.uint8).tobytes()]),
+                        C.binary_array([C.pack_keys(b.column(0).slice(lo, hi - lo))]),
+                        C.binary_array([np.asarray(b.column(2).slice(lo, hi - lo).fill_null(False).to_numpy(zero_copy_only=False)).astype(np.uint8).tobytes()]),
                         C.binary_array([np.concatenate(counts).astype(np.uint32).tobytes()]),
                         C.binary_array([vocabulary.tobytes()]),
                         C.binary_array([narrow(tokens)]),
@@ -294,7 +295,7 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
 
     contexts = C.settle(with_answers(words, bigrams).applyInArrow(send_contexts, _SENT + ", v1 binary").groupBy("bucket").applyInArrow(add_up("contexts"), _ANSWER), "contexts")
     # the number of training texts is what the beginning's count is
-    begins = docs.where(~F.col(held_out)).count()
+    begins = docs.where(~F.coalesce(F.col(held_out), F.lit(False))).count()
 
     def final(row: pa.Table, answers: pa.Table) -> pa.Table:
         b = load(row, answers)
@@ -317,7 +318,7 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
         plain = np.log10((c1 + 0.1) / (n + 0.1 * (v + 1)))
         return pa.table(
             {
-                key: pa.array(b.keys),
+                key: C.unpack_keys(b.keys),
                 "held_out": pa.array(b.held),
                 "n_tokens": pa.array(b.sizes),
                 "n_known": pa.array(np.add.reduceat((c1 > 0).astype(np.int64)[b.tokens], b.off[:-1])),

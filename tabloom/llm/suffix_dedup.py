@@ -46,7 +46,7 @@ def read_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             for lo, hi, buf, off in C.text_chunks(b.column(1), BLOCK):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), C.binary_array([np.asarray(b.column(0).slice(lo, hi - lo)).astype(np.int64).tobytes()]), C.binary_array([np.diff(off).tobytes()]), C.binary_array([buf.tobytes()])],
+                    [pa.array([block], pa.int64()), C.binary_array([C.pack_keys(b.column(0).slice(lo, hi - lo))]), C.binary_array([np.diff(off).tobytes()]), C.binary_array([buf.tobytes()])],
                     names=["block", "keys", "sizes", "text"],
                 )
                 block += 1
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             left = raw[~cut].tobytes()
             digest.append(hashlib.sha256(left).hexdigest())
             kept.append(left)
-        columns = {key: pa.array(b.keys), "n_bytes": pa.array(np.diff(b.off)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), "kept_sha256": pa.array(digest, pa.string())}
+        columns = {key: C.unpack_keys(b.keys), "n_bytes": pa.array(np.diff(b.off)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), "kept_sha256": pa.array(digest, pa.string())}
         if with_kept:
             columns["kept"] = C.binary_array(kept)
         return pa.table(columns)
