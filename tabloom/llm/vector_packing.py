@@ -19,7 +19,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
 
-END, CACHE_WORDS, POOL = 2, 400_000, 1024
+END, CACHE_WORDS, POOL = 2, 1_000_000, 1024
 
 
 @dataclass(frozen=True)
@@ -40,29 +40,36 @@ class Limits:
 
 
 class Words:
-    """Ids of a text by the tokenizer's ids of its words, each looked up once while the cache lasts."""
+    """Ids of a text by the tokenizer's ids of its words, each looked up once while the cache lasts.
+
+    A word's ids are kept as packed bytes, so a text's ids are one join."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), END + 1) <= 1 << 16 else "<u4")
+        self.end = np.array([END], self.kind).tobytes()
+        self.cache: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
-        if new:
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            cache.update(zip(new, (tuple(e.ids) for e in got), strict=True))
-        out = []
-        for ws in split:
-            x = np.fromiter(chain(chain.from_iterable(map(cache.__getitem__, ws)), (END,)), np.uint32)
-            out.append(x)
-        return out
+        new = [w for w in set().union(*split) if w not in cache]
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            cache.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
+        return [np.frombuffer(b"".join([*map(cache.__getitem__, ws), self.end]), self.kind).astype(np.uint32) for ws in split]
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """One tokenizer and cache a worker process, kept from task to task."""
+    return Words(path)
 
 
 @dataclass(eq=False)
@@ -202,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         kind = None
         for b in batches:
-            words = words or Words(tokenizer)
+            words = words or words_of(tokenizer)
             kind = b.schema.field(0).type
             labels = b.column(0).to_pylist()
             for lo, hi, buf, off in C.text_chunks(b.column(1), 1 << 20):
