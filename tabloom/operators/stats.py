@@ -55,9 +55,9 @@ def shared_bins(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 def binned_distribution(df: DataFrame, name: str, bins: DataFrame) -> DataFrame:
     """(bin, mass): right-closed bins from 1, and their share of all rows, missing ones included in the total.
 
-    bins is the single row of shared_bins, attached as scalar subqueries."""
-    edge = {c: bins.select(c).scalar() for c in ("low", "high", "bins")}
-    rows = df.select(scrub(df, name).cast("double").alias("x"), *[e.alias(c) for c, e in edge.items()])
+    bins is the single row of shared_bins, attached as one scalar subquery."""
+    edge = bins.select(F.struct("low", "high", "bins").alias("e")).scalar()
+    rows = df.select(scrub(df, name).cast("double").alias("x"), edge.alias("e")).select("x", "e.low", "e.high", "e.bins")
     width = (F.col("high") - F.col("low")) / F.col("bins")
     at = F.when(F.col("x").isNull(), None).when(width == 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.col("bins"), F.ceil((F.col("x") - F.col("low")) / width))))
     counts = rows.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
@@ -94,10 +94,37 @@ def column_distance(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 
 
 def distances(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
-    out = column_distance(a, b, names[0])
-    for n in names[1:]:
-        out = out.unionByName(column_distance(a, b, n))
-    return out
+    """(column, kind, distance) of every column of two tables, in two passes whatever the number of columns: one for the
+    shared bins of all numeric columns, one that counts all columns' values on both sides."""
+    numbers = [c for c in names if is_numeric(a.schema[c].dataType) and is_numeric(b.schema[c].dataType)]
+    cast = lambda d, c: scrub(d, c).cast("double") if c in numbers else category(scrub(d, c))
+    sides = [d.select(*[cast(d, c).alias(f"v{i}") for i, c in enumerate(names)], F.lit(side).alias("side")) for side, d in enumerate((a, b))]
+    both = sides[0].unionByName(sides[1])
+    place = {c: names.index(c) for c in numbers}
+    bins: dict[str, tuple] = {}
+    for at in range(0, len(numbers), CHUNK // 4):
+        part = numbers[at : at + CHUNK // 4]
+        facts = both.agg(*[f(f"v{place[c]}").alias(f"{n}{place[c]}") for c in part for n, f in (("n", F.count), ("l", F.min), ("h", F.max), ("s", F.skewness))])
+        row = facts.select(*[F.struct(f"l{i}", f"h{i}", doane_bins(F.col(f"n{i}"), F.col(f"l{i}"), F.col(f"h{i}"), F.nanvl(f"s{i}", F.lit(None)))).alias(c) for c in part for i in (place[c],)]).first()
+        bins |= {c: tuple(row[c]) for c in part}
+
+    def key(i: int, c: str) -> Column:
+        if c not in bins:
+            return F.col(f"v{i}")
+        low, high, k = bins[c]
+        if low is None or high == low:
+            return F.when(F.col(f"v{i}").isNotNull(), F.lit("1"))
+        return F.greatest(F.lit(1), F.least(F.lit(k), F.ceil((F.col(f"v{i}") - low) / ((high - low) / k)))).cast("string")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), key(i, c).alias("key")) for i, c in enumerate(names)])
+    counts = both.select("side", F.inline(cells)).where("key is not null").groupBy("i", "key").agg(F.sum(1 - F.col("side")).alias("p"), F.sum("side").alias("q"))
+    sums = counts.groupBy("i").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+    x, y = F.col("p") / F.col("sp"), F.col("q") / F.col("sq")
+    part = lambda v: F.when(v > 0, v * F.log2(v / ((x + y) / 2))).otherwise(0.0)
+    terms = counts.join(F.broadcast(sums), "i").groupBy("i").agg(F.sum(F.when((F.col("sp") > 0) & (F.col("sq") > 0), (part(x) + part(y)) / 2)).alias("t"), F.min(F.least("sp", "sq")).alias("least"))
+    listed = both.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit("numeric" if c in bins else "categorical").alias("kind")) for i, c in enumerate(names)])))
+    value = F.when(F.col("least").isNull(), 0.0).when(F.col("least") == 0, EMPTY_DISTANCE).otherwise(F.sqrt(F.greatest(F.col("t"), F.lit(0.0))))
+    return listed.join(F.broadcast(terms), "i", "left").select("column", "kind", value.alias("distance"))
 
 
 def pearson_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
