@@ -9,10 +9,10 @@ from math import ceil
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tabloom.errors import GenerationError, ParameterError
 from tabloom.functions import expressions as X
+from tabloom.operators.sequences import numbered, running_sums
 
 RESULT = "struct<valid: boolean, explain: string>"
 
@@ -56,10 +56,9 @@ def field_count_check(text: str, delimiter: str, headers: Sequence[str]) -> Colu
 
 
 def running(lines: DataFrame, order: str) -> DataFrame:
-    """lines with n_valid and n_invalid up to and with each, in one ordered pass (what is generated is bounded by its budget)."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    """lines with n_valid and n_invalid up to and with each."""
     bad = (~F.coalesce("valid", F.lit(True))).cast("long")
-    return lines.withColumns({"n_invalid": F.sum(bad).over(w), "n_valid": F.sum(1 - bad).over(w)})
+    return running_sums(lines, order, {"n_invalid": bad, "n_valid": 1 - bad})
 
 
 def within_budget(lines: DataFrame, order: str, most_invalid: int, wanted: int | None = None) -> DataFrame:
@@ -91,7 +90,7 @@ def assemble(batches: Sequence[tuple[DataFrame, Sequence[str]]], order: str, hea
     """Records from the valid lines of each column batch, the k-th of each put together, columns in the original order."""
     out = None
     for lines, names in batches:
-        ranked = accepted(lines).withColumn("rank", F.row_number().over(W.orderBy(order)))
+        ranked = numbered(accepted(lines), order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
         one = ranked.select("rank", X.named_values(F.col("values"), names).alias("r")).where("r is not null").select("rank", "r.*")
         out = one if out is None else out.join(one, "rank")
     return out.select("rank", *headers)

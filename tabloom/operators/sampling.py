@@ -51,7 +51,7 @@ def draw(uniforms: DataFrame, r: str, intervals: DataFrame) -> DataFrame:
 def match_rows(drawn: DataFrame, r: str, index: DataFrame) -> DataFrame:
     """drawn (with `value`) joined to one uniformly chosen real row of that value, by the uniform r."""
     counts = index.groupBy("value").agg(F.count("*").alias("cnt"))
-    picked = drawn.join(F.broadcast(counts), "value").withColumn("rn", (F.floor(F.col(r) * F.col("cnt")) + 1).cast("int")).drop("cnt")
+    picked = drawn.join(counts, "value").withColumn("rn", (F.floor(F.col(r) * F.col("cnt")) + 1).cast("int")).drop("cnt")
     return picked.join(index, ["value", "rn"])
 
 

@@ -146,6 +146,19 @@ def numbered(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
     return inner.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__before", "__in")
 
 
+def running_sums(df: DataFrame, order: str | Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """df with the sum of each expression up to and with each row in the total order, by range partitions like numbered."""
+    keys = [order] if isinstance(order, str) else list(order)
+    ranged = df.withColumns({f"__x_{n}": c for n, c in sums.items()}).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    w = W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    inner = ranged.withColumns({f"__s_{n}": F.sum(f"__x_{n}").over(w) for n in sums})
+    totals = ranged.groupBy("__part").agg(*[F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    out = inner.join(F.broadcast(before), "__part")  # a row a partition
+    return out.withColumns({n: F.col(f"__s_{n}") + F.col(f"__b_{n}") for n in sums}).drop("__part", *[f"__{k}_{n}" for n in sums for k in "xsb"])
+
+
 def check_lengths(df: DataFrame, example: str, most: int) -> DataFrame:
     """One row: longest, shortest, examples, variable; an example longer than `most` is an error."""
     facts = df.groupBy(example).agg(F.count("*").alias("n")).agg(F.max("n").alias("longest"), F.min("n").alias("shortest"), F.count("*").alias("examples"))

@@ -6,9 +6,11 @@ autoregressive noise for sequences, character n-grams for text.
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql.window import Window as W
 from tabloom.errors import ParameterError
 from tabloom.functions.expressions import category, is_numeric, scrub
 from tabloom.operators.relational import force_values
-from tabloom.operators.sequences import min_max, positions
+from tabloom.operators.sequences import min_max, numbered, positions
 
 #: Points of a fitted marginal distribution, most categories kept of a column.
 QUANTILES, MOST_CATEGORIES = 101, 1000
@@ -118,7 +120,7 @@ class CopulaSynthesizer(Synthesizer):
         middle = F.create_map(*[x for v, a, b in zip(m.values, low, m.upto, strict=True) for x in (F.lit(v), F.lit(ppf(min(max((a + b) / 2, 1e-6), 1 - 1e-6))))])
         return F.try_element_at(middle, category(scrub(df, m.name)))
 
-    def sample(self, spark: SparkSession, n: int, seed: int = 0, conditions: Mapping[str, object] | None = None, force: bool = True) -> DataFrame:
+    def sample(self, spark: SparkSession, n: int, seed: int = 0, conditions: Mapping[str, object] | None = None, force: bool = True, keep_id: bool = False) -> DataFrame:
         """n rows; constraints are SQL predicates on the result, met by drawing more; condition columns are set to their values."""
         if self.correlation is None:
             raise ParameterError("fit first")
@@ -143,15 +145,26 @@ class CopulaSynthesizer(Synthesizer):
         out = out.orderBy("id").limit(n)
         if self.primary_key:
             out = out.withColumn(self.primary_key, F.col("id") + 1)
-        return out.drop("id")
+        return out if keep_id else out.drop("id")
+
+    def save(self, path: str) -> None:
+        """The fitted distributions as JSON."""
+        rows = [{**m.__dict__, "kind": m.kind.jsonValue()} for m in self.marginals]
+        Path(path).write_text(json.dumps({"constraints": list(self.constraints), "primary_key": self.primary_key, "marginals": rows, "correlation": self.correlation.tolist()}))
+
+    @classmethod
+    def load(cls, path: str) -> CopulaSynthesizer:
+        x = json.loads(Path(path).read_text())
+        marginals = [Marginal(**{**m, "kind": T._parse_datatype_json_value(m["kind"])}) for m in x["marginals"]]
+        return cls(x["constraints"], x["primary_key"], marginals, np.array(x["correlation"]))
 
     def complete(self, known: DataFrame, key: str, seed: int = 0) -> DataFrame:
         """Known rows with their absent columns drawn; columns in the fitted order."""
         n = known.count()
-        drawn = self.sample(known.sparkSession, n, seed)
+        drawn = self.sample(known.sparkSession, n, seed, keep_id=True)
         given = [c for c in known.columns if c != key]
-        left = known.withColumn("__rn", F.row_number().over(W.orderBy(key)))
-        right = drawn.drop(*given).withColumn("__rn", F.row_number().over(W.orderBy(F.lit(1))))
+        left = numbered(known, key, "__rn")
+        right = numbered(drawn, "id", "__rn").drop("id", *given)
         return left.join(right, "__rn").select(key, *[m.name for m in self.marginals])
 
 
@@ -172,12 +185,13 @@ class SequenceSynthesizer(Synthesizer):
     def fit(self, df: DataFrame) -> SequenceSynthesizer:
         self.ranges = {f: min_max(df, f) for f in self.features}
         self.source = positions(df.select(self.example, self.time, *self.features, *self.attributes), self.example, self.time)
-        self.examples = df.select(self.example).distinct().withColumn("pick", F.row_number().over(W.orderBy(self.example)) - 1)
+        self.examples = df.select(self.example).distinct()
+        self.examples = numbered(self.examples, self.example, "pick")
         return self
 
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         count = self.examples.count()
-        drawn = spark.range(n).select(F.col("id").alias("sample_id"), F.floor(F.rand(seed) * count).cast("int").alias("pick")).join(self.examples, "pick")
+        drawn = spark.range(n).select(F.col("id").alias("sample_id"), F.floor(F.rand(seed) * count).cast("long").alias("pick")).join(self.examples, "pick")
         rows = drawn.join(self.source, self.example)
         w = W.partitionBy("sample_id").orderBy("pos").rowsBetween(-8, 0)
         for i, f in enumerate(self.features):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.errors import DataError, ParameterError, UserError
 from tabloom.functions import expressions as X
 from tabloom.operators import cluster, codecs, detect, records, relational, sequences, stats
-from tabloom.plans import synthesizers
+from tabloom.plans import record_pipeline, synthesizers
 from tabloom.sources import files
 from tabloom.streaming import streams
 
@@ -177,3 +177,24 @@ def test_streamed_validation(spark, tmp_path):
     stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "text")
     out = streams.run_once(streams.validated(stream, "text", "text rlike '^[0-9]+$'"), "validated_lines", str(tmp_path / "cp"))
     assert {r.text: r.valid for r in out.collect()} == {"1": True, "x": False}
+
+
+def test_copula_is_saved_and_completes_rows(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"))
+    m = synthesizers.CopulaSynthesizer().fit(df)
+    m.save(str(tmp_path / "m.json"))
+    again = synthesizers.CopulaSynthesizer.load(str(tmp_path / "m.json"))
+    assert again.sample(spark, 20, 3).collect() == m.sample(spark, 20, 3).collect()
+    known = spark.createDataFrame([(1, "a"), (2, "b")], "k int, c string")
+    assert [(r.k, r.c) for r in again.complete(known, "k").orderBy("k").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_record_pipeline(spark, data):
+    n = files.read_table(spark, f"{data}/nation.parquet")
+    p = record_pipeline.RecordPipeline(batch_size=2, order=6).fit(n, seeds=["n_regionkey"])
+    made, summaries = p.generate(spark, 12, seed=2, start={"n_regionkey": "1"})
+    rows = made.collect()
+    assert len(rows) == 12 and made.columns == ["rank", *n.columns] and all(r.n_regionkey == "1" for r in rows)
+    assert all(s.first()["is_valid"] for s in summaries)
+    seeds = spark.createDataFrame([(7, "0"), (8, "1"), (9, "0")], "k long, n_regionkey string")
+    assert sorted((r.seed_id, r.n_regionkey) for r in p.generate_seeded(seeds, "k", ["n_regionkey"]).collect()) == [(7, "0"), (8, "1"), (9, "0")]
