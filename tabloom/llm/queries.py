@@ -38,18 +38,24 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(C.table(spark, sf_dir, "documents"))
 
 
+WORDS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SHINGLES = "CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END"
+SQL["op2_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, {WORDS} AS t FROM documents), s AS (SELECT DISTINCT id, unnest({SHINGLES}) AS g FROM w), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2), e AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.id = r.id GROUP BY r.id
+"""
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
-SQL["op3_decontaminate"] = r"""
-WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
-  UNION ALL
-  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
-), s AS (
-  SELECT DISTINCT kind, id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w
+SQL["op3_decontaminate"] = f"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, {WORDS} AS t FROM documents UNION ALL SELECT 'i', item_id, {WORDS} FROM benchmark
+), s AS (SELECT DISTINCT kind, id, unnest({SHINGLES}) AS g FROM w
 ), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS item_shingles, count(*) AS shared_shingles, count(*) / any_value(n.n) AS containment
 FROM s d JOIN s i ON d.kind = 'd' AND i.kind = 'i' AND d.g = i.g JOIN n ON n.id = i.id
@@ -98,3 +104,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"), with_kept=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+SQL["op10_cover_tree"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c),
+k AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT k.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = k.id) AS n_links, component_id, k.id = component_id AS kept FROM k
+"""
