@@ -10,11 +10,13 @@ than `hot` sets share is skipped (threshold -1) as long as the set's other fille
 too few filled segments also lists every segment with its one-deletion neighbourhood (threshold 1, worth two).
 
 Equal sets are one class from the start. Links are certified where the alike segments alone hold enough elements; all
-other candidates in different components are verified on the exact sets. Hot segments are joined through a pivot, then
-between components only, so that a group of near copies never yields all its pairs.
+other candidates in different components are verified on the exact sets. Sets with too few cold segments are parted once more, an element
+a segment: a partner lacks at most a quarter of their elements, so with more cold elements than that one is shared. What is
+nearly all hot is joined with the smallest set of each hot element; those that still meet other components in their rarest
+elements are compared block by block. No group of near copies yields all its pairs.
 
 Sets are compared by 64-bit hashes of words and shingles. Defined results: null or empty texts have an empty set, are
-linked with nothing and are their own component; repeated rows fall into one class; ties go to the smallest id; other
+linked with nothing and are their own component; rows without an id keep none of their own; repeated rows fall into one class; ties go to the smallest id; other
 columns are ignored.
 """
 
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabloom.llm import _core as C
 
@@ -134,15 +137,21 @@ def signatures(h: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(sig), np.concatenate(size), np.concatenate(roles)
 
 
-def index(docs: DataFrame, text: str, n: int, percent: int, parts: int) -> DataFrame:
-    """(bucket, ids, counts, sig, meta): blocks of index entries, by the hash bucket of their signatures."""
+def elements(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of single elements."""
+    return C.mix(h ^ _EMPTY), np.ones(len(h), np.int64), np.zeros(len(h), np.uint8)
+
+
+def index(docs: DataFrame, text: str, n: int, percent: int, parts: int, single: bool = False) -> DataFrame:
+    """(bucket, ids, counts, sig, meta): blocks of index entries, by the hash bucket of their signatures; single: of elements."""
+    list_of = elements if single else lambda h: signatures(h, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, h, off in C.sets(b.column(0), n, 4 << 20):
                 ids = fingerprints(h, off)
                 _, first = np.unique(ids, return_index=True)
-                every = [(ids[d], signatures(h[off[d] : off[d + 1]], percent)) for d in first]
+                every = [(ids[d], list_of(h[off[d] : off[d + 1]])) for d in first]
                 every = [(i, s) for i, s in every if len(s[0])]
                 if not every:
                     continue
@@ -240,6 +249,77 @@ def match(hot: int):
     return run
 
 
+def to_sets(n: int):
+    """(id, text) rows to (id, items: sorted shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for _, _, h, off in C.sets(b.column(1), n):
+                out += [h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), C.binary_array(out)], names=["id", "items"])
+
+    return run
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of every set of x with every set of y: products of 0/1 matrices, some elements at a time."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, every)
+        at[at == len(shared)] = 0
+        ok = shared[at] == every
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], who[ok][order]
+
+    if not len(shared):
+        return out
+    sides = [places(x), places(y)]
+    step = 2048
+    for lo in range(0, len(shared), step):
+        block = []
+        for (at, who), sets in zip(sides, (x, y), strict=True):
+            p, q = np.searchsorted(at, [lo, lo + step])
+            m = np.zeros((len(sets), step), np.float32)
+            m[who[p:q], at[p:q] - lo] = 1
+            block.append(m)
+        out += block[0] @ block[1].T
+    return out
+
+
+def family_links(docs: DataFrame, family: DataFrame, key: str, text: str, n: int, percent: int, size: int = 512) -> DataFrame:
+    """(a, b): a spanning forest of the links between the texts of each family, all of them compared, block by block.
+
+    family has (id, component); a block of 512 sets at most meets each other block of its family in a task of its own, and
+    tasks report links that connect, not pairs."""
+    sizes = C.settle(family.groupBy("component").agg(F.ceil(F.count("*") / (size // 2)).alias("blocks")), "family-sizes")
+    placed = C.settle(family.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), "placed")
+    nodes = placed.select("component", "block").distinct()
+    left, right = nodes.withColumnRenamed("block", "p"), nodes.withColumnRenamed("block", "q")
+    pairs = C.settle(left.join(right, "component").where("p <= q"), "block-pairs")
+    whole = placed.join(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id").groupBy("id").agg(F.first("text").alias("text"))
+    items = C.settle(placed.join(whole.select("id", "text").mapInArrow(to_sets(n), "id long, items binary"), "id"), "family-items")
+    sent = pairs.withColumn("block", F.explode(F.array_distinct(F.array("p", "q")))).join(items, ["component", "block"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        block, ids = group.column("block").to_numpy(), group.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("items")]
+        x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        shared = overlaps([sets[i] for i in x], [sets[i] for i in y])
+        length = np.array([len(s) for s in sets])
+        i, j = np.nonzero((100 * shared >= percent * (length[x][:, None] + length[y][None, :] - shared)) & (shared > 0))
+        i, j = x[i], y[j]
+        low = C.forest(len(ids), i, j)
+        k = np.flatnonzero(low != np.arange(len(low)))
+        return pa.table({"a": pa.array(ids[k]), "b": pa.array(ids[low[k]])})
+
+    return sent.groupBy("component", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, key: str, n: int, percent: int, parts: int) -> DataFrame:
     """Those of the pairs (a, b) of set ids whose sets are similar, verified on the exact sets.
 
@@ -250,15 +330,8 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, ke
     needed = salted.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = needed.join(classes.select("id", F.col("rep").alias(key)), "id").select("block", key, "id")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for _, _, h, off in C.sets(b.column(1), n):
-                out += [h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), C.binary_array(out)], names=["id", "items"])
-
     whole = wanted.select(key, "id").distinct().join(docs.select(key, F.col(text).alias("text")), key).groupBy("id").agg(F.first("text").alias("text"))
-    items = C.settle(whole.select("id", "text").mapInArrow(to_sets, "id long, items binary"), "items")
+    items = C.settle(whole.select("id", "text").mapInArrow(to_sets(n), "id long, items binary"), "items")
     sent = wanted.select("block", "id").join(items, "id").select("block", "id", F.lit(None).cast("long").alias("b"), "items")
     asked = salted.select("block", F.col("a").alias("id"), "b", F.lit(None).cast("binary").alias("items"))
 
@@ -287,7 +360,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     spark = docs.sparkSession
     parts = C.buckets(spark, 1)
     stats = C.settle(set_stats(docs, key, text, n, percent), "stats")
-    classes = C.settle(stats.where("n > 0").groupBy("id").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low")), "classes")
+    classes = C.settle(stats.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low")), "classes")
     found = C.settle(index(docs, text, n, percent, parts).groupBy("bucket").applyInArrow(match(hot), _MATCHES), "matches")
 
     warm = found.where(F.col("kind") == HOT_OF).groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("b") == 0, F.col("alike"))).alias("hot_own"), F.sum(F.when(F.col("b") == 1, F.col("alike"))).alias("hot_low"))
@@ -344,17 +417,37 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     chain = chain.unionByName(verified(apart_pairs(judged.where("maybe and not sure"))))
     parts_of = C.settle(C.components(chain), "parts")
 
-    # what is left: sets with too few cold segments, in the same hot segment but in different components
-    hard_ids = facts.where("hard_own or hard_low").select("id", "rep", "n", "hard_own", "hard_low").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", "n", "hard_own", "hard_low", F.coalesce("component", "rep").alias("c"))
-    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("seg"), F.col("b").alias("id"), F.col("alike").alias("role")).join(hard_ids, "id")
-    members = members.where("if(role = 0, hard_own, hard_low)").select("seg", "id", "n", "c")
-    mixed = members.groupBy("seg").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("seg")
-    members = C.settle(members.join(C.settle(mixed, "mixed"), "seg"), "members")
-    if not members.isEmpty():
-        left, right = (members.select("seg", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c")]) for s in "xy")
-        rest = left.join(right, "seg").where(F.expr(f"c_x < c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"))
-        rest = rest.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-        chain = chain.unionByName(verified(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti")))
+    # what is left: pairs of two sets with too few cold segments. Their universe is parted once more, an element a segment
+    unsure = C.settle(facts.where("hard_own or hard_low").select("id", F.col("rep").alias("key"), "n"), "unsure")
+    texts = unsure.select("key").join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").groupBy("key").agg(F.first("text").alias("text"))
+    found = C.settle(index(texts, "text", n, percent, parts, single=True).groupBy("bucket").applyInArrow(match(hot), _MATCHES), "elements")
+    warm = found.where(F.col("kind") == HOT_OF).groupBy(F.col("a").alias("id")).agg(F.sum("alike").alias("hot"))
+    # a partner lacks at most a quarter of a set's elements: with more cold ones, one of those is shared
+    few = unsure.join(warm, "id", "left").select("id", "key", "n", (F.col("n") - F.coalesce("hot", F.lit(0))).alias("cold"), F.expr(f"floor(n * {apart} / 100)").alias("lacks"))
+    few = C.settle(few, "few")
+    sides = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("alike").alias("alike"))
+    for side in "ab":
+        sides = sides.join(few.select(F.col("id").alias(side), F.col("key").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("cold").alias(f"cold_{side}")), side)
+    least = F.ceil(percent * total / (100 + percent))
+    sides = sides.where((F.col("alike") >= F.greatest(F.col("cold_a") - F.col("n_a"), F.col("cold_b") - F.col("n_b")) + least) & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    # hot elements of sets that are nearly all hot: first each with the smallest set that has the element
+    member = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("seg"), F.col("b").alias("id")).join(few.where("cold <= lacks"), "id")
+    member = C.settle(member.select("seg", "id", "key", "n", (F.col("lacks") + 1 - F.col("cold")).alias("needs")), "member")
+    pivot = C.settle(member.groupBy("seg").agg(F.min(F.struct("n", "id", "key")).alias("p"), F.count("*").alias("size")).select("seg", "size", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.key").alias("p_key")), "pivot")
+    star = member.join(pivot, "seg").where(F.expr(f"p <> id and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.expr("if(id < p, key, p_key)").alias("rep_a"), F.expr("if(id < p, p_key, key)").alias("rep_b"))
+    more = C.settle(sides.select("a", "b", "rep_a", "rep_b").unionByName(star.distinct()).distinct(), "more")
+    chain = chain.unionByName(verified(apart_pairs(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"))))
+    parts_of = C.settle(C.components(chain), "parts")
+    # then, where different components meet in as many of its rarest elements as a set needs: families of such sets, by blocks
+    order = W.partitionBy("id").orderBy("size", "seg")
+    rare = member.join(pivot.select("seg", "size"), "seg").withColumn("place", F.row_number().over(order)).where("place <= needs")
+    rare = rare.join(parts_of.select(F.col("id").alias("key"), "component"), "key", "left").select("seg", "id", "key", F.coalesce("component", "key").alias("c"))
+    rare = C.settle(rare, "rare")
+    mixed = C.settle(rare.groupBy("seg").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low < high").select("seg", "first"), "mixed")
+    met = rare.join(mixed, "seg").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    if not mixed.isEmpty():
+        family = C.settle(C.components(met), "families")
+        chain = chain.unionByName(C.settle(family_links(docs, family, key, text, n, percent), "family-links"))
         parts_of = C.settle(C.components(chain), "parts")
     final = C.settle(classes.select("id", "rep").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")), "final")
     return stats.join(final, "id", "left").select(
