@@ -148,7 +148,7 @@ def index(docs: DataFrame, text: str, n: int, percent: int, parts: int, single:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, h, off in C.sets(b.column(0), n, 4 << 20):
+            for _, _, h, off in C.sets(b.column(0), n):
                 ids = fingerprints(h, off)
                 _, first = np.unique(ids, return_index=True)
                 every = [(ids[d], list_of(h[off[d] : off[d + 1]])) for d in first]
@@ -358,7 +358,7 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, ke
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, hot: int = HOT) -> DataFrame:
     """(key, n_shingles, component_id): smallest key reachable by links of similarity >= percent / 100."""
     spark = docs.sparkSession
-    parts = C.buckets(spark, 1)
+    parts = C.buckets(spark, 2)
     stats = C.settle(set_stats(docs, key, text, n, percent), "stats")
     classes = C.settle(stats.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low")), "classes")
     found = C.settle(index(docs, text, n, percent, parts).groupBy("bucket").applyInArrow(match(hot), _MATCHES), "matches")
