@@ -697,3 +697,108 @@ def sample_sequences(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def generate_text(spark: SparkSession, d: str) -> DataFrame:
     return synthesizers.TextSynthesizer(3, "n_name").fit(table(spark, d, "nation")).sample(spark, 200, seed=7)
+
+
+# ---------------------------------------------------------------- whole tables
+# The same operators as the queries without _all, over inputs that together hold every row; the SQL is theirs with those inputs.
+
+
+def whole(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query with other filters, each of which it must have."""
+    sql = SQL[name]
+    for old, new in changes:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return sql
+
+
+def odd_and_even(spark: SparkSession, d: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Even keys as training, odd ones as synthetic."""
+    t = table(spark, d, name)
+    return t.where(f"{key} % 2 = 0"), t.where(f"{key} % 2 <> 0")
+
+
+def all_orders(spark: SparkSession, d: str, null: bool = False) -> tuple[DataFrame, DataFrame]:
+    cust = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey") if null else F.col("o_custkey")
+    a, b = odd_and_even(spark, d, "orders", "o_orderkey")
+    return tuple(x.select(cust, "o_orderstatus", "o_orderpriority") for x in (a, b))
+
+
+LINES, ORDERS = ("l_orderkey % 3 = 0", "l_orderkey % 2 <> 0"), ("o_orderkey % 3 = 0", "o_orderkey % 2 <> 0")
+
+
+@query(whole("numeric_bins", LINES))
+def numeric_bins_all(spark: SparkSession, d: str) -> DataFrame:
+    return stats.shared_bins(*odd_and_even(spark, d, "lineitem", "l_orderkey"), "l_discount")
+
+
+@query(whole("numeric_distribution", LINES))
+def numeric_distribution_all(spark: SparkSession, d: str) -> DataFrame:
+    a, b = odd_and_even(spark, d, "lineitem", "l_orderkey")
+    return stats.binned_distribution(a, "l_discount", stats.shared_bins(a, b, "l_discount")).select("bin", r6("mass"))
+
+
+@query(whole("js_distance", LINES))
+def js_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    a, b = odd_and_even(spark, d, "lineitem", "l_orderkey")
+    return stats.distances(a.select(*TEXTS, *NUMBERS), b.select(*TEXTS, *NUMBERS), [*TEXTS, *NUMBERS]).select("column", "kind", r6("distance"))
+
+
+@query(whole("memorized_rows", ORDERS))
+def memorized_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    return relational.count_memorized(*all_orders(spark, d))
+
+
+@query(whole("memorized_rows_nulls", ORDERS))
+def memorized_rows_nulls_all(spark: SparkSession, d: str) -> DataFrame:
+    return relational.count_memorized(*all_orders(spark, d, null=True))
+
+
+@query(whole("memorized_rows_mixed_types", ORDERS))
+def memorized_rows_mixed_types_all(spark: SparkSession, d: str) -> DataFrame:
+    a, b = all_orders(spark, d)
+    return relational.count_memorized(a, b.withColumn("o_custkey", F.col("o_custkey").cast("string")))
+
+
+@query(whole("novel_rows", ORDERS))
+def novel_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    return relational.novel_rows(*all_orders(spark, d))
+
+
+@query(whole("outer_indicator", ("o_orderkey % 7 = 0", "o_orderkey % 2 = 0"), ("o_orderkey % 5 = 0", "o_orderkey % 2 <> 0")))
+def outer_indicator_all(spark: SparkSession, d: str) -> DataFrame:
+    return relational.outer_indicator(*odd_and_even(spark, d, "orders", "o_orderkey"), ["o_custkey"])
+
+
+@query(whole("knn_neighbors", ("a.p_brand = 'Brand#11'", "a.p_partkey % 50 = 0")))
+def knn_neighbors_all(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
+    return relational.nearest(p.where("p_partkey % 50 = 0"), p, "p_partkey", "v").select("query_id", "neighbour_id", "rank", r6("distance"))
+
+
+MONTHS = list(range(1, 13))
+ALL_MONTHS = MONTHLY.replace(" WHERE month(o_orderdate) <= 3", "")
+
+
+def every_month(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("m", F.month("o_orderdate"))
+    return o.groupBy("o_orderpriority", "m").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderpriority, " + ", ".join(f'max(CASE WHEN m = {m} THEN total END) AS "{m}"' for m in MONTHS) + f" FROM {ALL_MONTHS} GROUP BY 1")
+def long_to_wide_all(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.long_to_wide(every_month(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
+
+
+@query(whole("wide_to_long", (MONTHLY, ALL_MONTHS)))
+def wide_to_long_all(spark: SparkSession, d: str) -> DataFrame:
+    wide = sequences.long_to_wide(every_month(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
+    return sequences.wide_to_long(wide, ["o_orderpriority"], [str(m) for m in MONTHS])
+
+
+@query(whole("assemble_records", ("WHERE c_custkey % 4 <> 0", ""), ("WHERE c_custkey % 3 <> 0", "")))
+def assemble_records_all(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    one = records.validate(c.withColumn("text", F.concat_ws(",", "c_name", "c_mktsegment")), "text", "c_custkey is not null", ",")
+    two = records.validate(c.withColumn("text", F.col("c_nationkey").cast("string")), "text", "c_custkey is not null", ",")
+    return records.assemble([(one, ["c_name", "c_mktsegment"]), (two, ["c_acctbal"])], "c_custkey", ["c_name", "c_mktsegment", "c_acctbal"])
