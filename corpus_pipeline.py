@@ -27,16 +27,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != ppm_language.UND) & (F.col("score") >= LEAST_SCORE)).select(*names)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, name of a column that names each row): doc_id where all ids are present and differ, else a number kept in a table of its own."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty():
+        return docs, "doc_id"
+    return C.settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of similar documents."""
-    kept = C.settle(jaccard_join.join(docs).where("doc_id = component_id").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each component of similar documents: the one with the smallest id, one without an id only where none has one.
+
+    Rows are told apart whatever their ids: of repeated rows one stays, a row without an id is compared like any other,
+    and different texts under one id are different documents. A text without a word is like no other and stays.
+    """
+    rows, key = keyed(docs)
+    found = jaccard_join.join(rows, key)
+    if key != "doc_id":
+        found = found.join(rows.select(key, "doc_id"), key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("key")))
+    kept = C.settle(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(key)), "kept")
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a test item."""
-    leaks = C.settle(decontaminate.search(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that contain a test item, row by row: also those without an id, and no other row of the same id."""
+    rows, key = keyed(docs)
+    leaks = C.settle(decontaminate.search(rows, C.table(spark, sf_dir, "benchmark"), key).select(key).distinct(), "leaks")
+    return rows.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,24 @@ def test_pipeline_of_nothing(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, data)
     assert step.count() == 0
+
+
+def test_rows_without_an_id_and_repeated_rows(spark, data):
+    import corpus_pipeline
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    item = next(r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len(shingles(r.text)) > 8)
+    leak = f"{text('before')} {item} {text('after')}"
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    docs = make([
+        (None, text("lone")), (None, text("other")), (None, text("other")), (None, text("shared")), (8, text("shared")),
+        (3, text("twice")), (3, text("twice")), (3, text("twice") + " more"), (4, text("one")), (4, text("two")), (2, text("two")),
+    ])
+    kept = corpus_pipeline.near_duplicates(spark, docs, data)
+    assert kept.columns == docs.columns
+    # of the copies under id 3 any may stay: they share it
+    found = sorted(((r.doc_id or 0, r.text.removesuffix(" more")) for r in kept.collect()))
+    assert found == [(0, text("lone")), (0, text("other")), (2, text("two")), (3, text("twice")), (4, text("one")), (8, text("shared"))]
+    left = corpus_pipeline.benchmark_leaks(spark, make([(None, leak), (None, text("lone")), (5, leak), (5, text("one")), (6, leak)]), data)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, text("lone")), (5, text("one"))]
