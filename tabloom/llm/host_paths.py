@@ -35,6 +35,8 @@ ASIDE_WORDS = frozenset("ad ads adv advert advertisement advertising banner brea
 HOLDERS = frozenset("article body div main section td table blockquote center ul ol dl p span figure li tbody tr".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: Where a raw element ends, looked for in the page itself: lower-casing a copy moves offsets (U+0130 becomes two characters).
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -49,7 +51,6 @@ class Page:
         self.block = 0
         stack = [0]
         at, n = 0, len(html)
-        lower = None
         while at < n:
             i = html.find("<", at)
             if i < 0:
@@ -78,10 +79,8 @@ class Page:
             if tag in BLOCK:
                 self.block += 1
             if tag in RAW:
-                lower = lower if lower is not None else html.lower()
-                end = lower.find(f"</{tag}", at)
-                end = n if end < 0 else end
-                close = html.find(">", end)
+                end = _RAW_END[tag].search(html, at)
+                close = html.find(">", end.start()) if end else -1
                 at = n if close < 0 else close + 1
                 continue
             if tag in CLOSES_P:

@@ -232,6 +232,14 @@ here<p>Para <a href=x>two</a> &eacute; done<ul><li>one<li>two</ul><script>var a=
     assert host_paths.Page("").text(None) == "" and host_paths.Page("<p>a<b").text(">none") == "a<b"
 
 
+def test_html_raw_elements_after_letters_that_lower_to_two():
+    for tag in sorted(host_paths.RAW):
+        page = "<div>" + "\u0130" * 20 + f"<{tag}>x</{tag.upper()}><p>short</p><p>next</p></div>"
+        assert host_paths.Page(page).text(None) == "\u0130" * 20 + "\nshort\nnext", tag
+    # only ASCII letters match without case, and an element that never ends takes the rest
+    assert host_paths.Page("<p>a</p><script>x</\u017fcript><p>in</p></script><p>b</p><style>c").text(None) == "a\nb"
+
+
 def test_html_consensus(spark):
     good = "<body><main class='c'><p>%s</p></main><div class='x'><p>short</p></div></body>"
     odd = "<body><main class='c'><p>tiny</p></main><div class='x'><p>%s</p></div></body>"
