@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -68,8 +69,6 @@ def parse(text: Column, f: Format) -> Column:
 def likely(df: DataFrame, columns: Sequence[str], formats: Sequence[Format] = CANDIDATES) -> dict[str, list[Format]]:
     """Formats whose shape the first present value of each column has: few, whatever the number of candidates."""
     first = df.agg(*[F.first(F.when(F.trim(f"`{c}`") != "", F.col(f"`{c}`")), ignorenulls=True).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    import re
-
     return {c: [f for f in formats if first[f"c{i}"] is not None and re.fullmatch(f.shape, first[f"c{i}"])] for i, c in enumerate(columns)}
 
 
@@ -105,17 +104,27 @@ def detect_datetimes(df: DataFrame, columns: Sequence[str] | None = None, sample
     return df.sparkSession.createDataFrame(out, "column string, format string") if out else empty
 
 
+def any_shape() -> str:
+    """A pattern of exactly the texts that have the shape of some candidate."""
+    times, zones = "|".join(t[2] for t in TIMES), "|".join(z[2] for z in ZONES)
+    dates = "|".join(dict.fromkeys(f.shape for f in CANDIDATES if ":" not in f.shape))
+    return f"^(?:(?:{dates})(?:[ T](?:{times})(?:{zones}))?|{times})$"
+
+
 def shape_votes(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], int]:
-    """How many values of each column have each distinct shape: masks are counted in Spark, shapes matched on the few masks."""
-    import re
+    """How many values of each column have each distinct shape: masks are counted in Spark, shapes matched on the few masks.
 
-    masks = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.regexp_replace(F.regexp_replace(F.col(f"`{c}`"), "[0-9]", "0"), "[A-Za-z]", "a").alias("m"), F.col(f"`{c}`").alias("v")) for c in columns]))).where("v is not null and length(v) <= 64")
-    rows = masks.groupBy("c", "m").agg(F.count("*").alias("n"), F.first("v").alias("v")).orderBy(F.desc("n"), "c", "m").limit(1000).collect()
+    Values without the shape of a candidate are left out first. The others have few masks, however many rows and columns
+    there are, and those of one mask have the same shapes: a run of letters is told by its length and place (T, Z, AM or PM, month).
+    """
+    masks = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in columns]))).where(F.col("v").rlike(any_shape()))
+    masks = masks.withColumn("m", F.regexp_replace(F.regexp_replace("v", "[0-9]", "0"), "[A-Za-z]", "a"))
+    rows = masks.groupBy("c", "m").agg(F.count("*").alias("n"), F.min("v").alias("v")).collect()
     out: dict[tuple[str, str], int] = {}
-    shapes = {f.shape for f in CANDIDATES}
+    shapes = [(s, re.compile(s)) for s in {f.shape for f in CANDIDATES}]
     for r in rows:
-        for s in shapes:
-            if re.fullmatch(s, r["v"]):
+        for s, p in shapes:
+            if p.fullmatch(r["v"]):
                 out[r["c"], s] = out.get((r["c"], s), 0) + r["n"]
     return out
 

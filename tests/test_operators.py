@@ -1,6 +1,7 @@
 """Small hand-computed cases of the operators."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,27 @@ def test_no_datetime_in_junk(spark):
     assert detect.detect_datetimes(df).count() == 0
 
 
+def test_sparse_datetimes_beside_many_masks(spark):
+    names = [("a" * i + " " + "b" * j, None, None) for i in range(1, 41) for j in range(1, 41)] * 2
+    df = spark.createDataFrame([*names, ("x", "2020-01-31", "1:30 xx"), ("y", None, "1:30 pm")], "name string, day string, time string").coalesce(1)
+    assert {tuple(r) for r in detect.detect_datetimes(df).collect()} == {("day", "%Y-%m-%d"), ("time", "%I:%M %p")}
+
+
+def test_any_shape_is_that_of_the_candidates(spark):
+    def example(shape, most):
+        out = re.sub(r"\(\?:Z\|(.*?)\)$", r"\1", shape) if most else re.sub(r"\(\?:Z\|.*?\)$", "Z", shape)
+        out = re.sub(r"\[([^]])[^]]*\]\{([0-9]+)(?:,([0-9]+))?\}", lambda m: m[1].replace("0", "1") * int((most and m[3]) or m[2]), out)
+        return re.sub(r"\[\+-\]", "+", re.sub(r"\[AaPp\]\[Mm\]", "pM", out)).replace("[.]", ".").replace("\\.", ".")
+
+    shapes = sorted({f.shape for f in detect.CANDIDATES})
+    texts = [example(s, most) for s in shapes for most in (False, True)]
+    assert all(re.fullmatch(s, t) for s, t in zip([s for s in shapes for _ in range(2)], texts, strict=True))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~F.col("t").rlike(detect.any_shape())).count() == 0
+    none = ["", "hello", "12", "2020-01-31 ", "2020-01-31X10:11", "1:30 xx", "2020-01", "2020-01-31 10:11:12+1"]
+    assert spark.createDataFrame([(t,) for t in none], "t string").where(F.col("t").rlike(detect.any_shape())).count() == 0
+
+
 def test_clusters_hold_all_columns_once(spark, data):
     c = files.read_table(spark, f"{data}/customer.parquet")
     groups = cluster.cluster_columns(c, "c_custkey", prefix=["c_name"], most=2)
