@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: One odd 64-bit base for polynomial hashes, and a random 64-bit value for each byte.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER_BYTE = _BYTE[_LOWER]
+#: Fixed odd multipliers and the masks that keep the first 0 to 8 bytes of a lane.
+_M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+LONG = 4096
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,39 +36,54 @@ def arrow_limits(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
-def buckets(spark: SparkSession, times: int = 2) -> int:
-    """How many hash buckets: follows the session's number of shuffle partitions."""
-    return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, size: int = 0, mb: int = 32) -> int:
+    """How many hash buckets for `size` bytes: at most about `mb` MB each, and no fewer than the session's shuffle partitions."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20)))
 
 
 # ---------------------------------------------------------------- durable stages
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of its own only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a temporary one in local mode (tests); a cluster has to name it."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tabloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folder of each settled table, for discard().
+_FOLDER: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, frees shuffles."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors; its shuffle files
+    go when it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    free(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def free(spark: SparkSession) -> None:
-    """Let the driver's garbage collection release the shuffle files of finished stages."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDER[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
+    for df in tables:
+        path = _FOLDER.pop(df, None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def append_columns(df: DataFrame, make, fields: list[tuple[str, str]]) -> DataFrame:
@@ -111,26 +126,6 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         lo = hi
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse, modulo 2^64."""
-    size = 1 << 16
-    while size <= n:
-        size *= 2
-    p, q = _powers(size)
-    return p[: n + 1], q[: n + 1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds)."""
     h = h ^ (h >> U64(32))
@@ -141,11 +136,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros behind the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def hash_runs(every: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each run of bytes (every: lanes of the buffer). Eight bytes at a time go through a one-to-one mix of
+    the whole state, so it is no polynomial: runs of at most eight bytes and one length never collide, others by chance.
+    Runs of more than LONG bytes are hashed whole."""
+    h = mix(size.astype(np.uint64) * _M1 + U64(seed * int(_M2) % 2**64))
+    for k in np.flatnonzero(size > LONG):
+        raw = every.base[start[k] : start[k] + size[k]]
+        h[k] = int.from_bytes(blake2b(raw.tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        lane = every[start[at] + done] & _MASK[np.minimum(left, 8)]
+        h[at] = mix((h[at] ^ lane) * _M2 + _M1)
+        done += 8
+        at = at[left > 8]
+    return h
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every lower-cased word of a chunk, in order, and the n + 1 word offsets of its texts."""
+    start, end = word_bounds(buf, off)
+    return hash_runs(lanes(_LOWER[buf]), start, end - start), np.searchsorted(start, off).astype(np.int64)
+
+
+def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of a chunk of texts."""
     n = len(buf)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     solid = ~_SPACE[buf]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -154,13 +181,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.empty(n, bool)
     ends[-1] = solid[-1]
     ends[:-1] = solid[:-1] & (~solid[1:] | begins[1:])
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LOWER_BYTE[buf] * power[:n], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, off).astype(np.int64)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
 _POSITION = np.random.default_rng(977).integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
@@ -258,12 +279,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """
     e = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
+    lows: list[DataFrame] = []
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v")
         if large:
             both = both.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # a table of its own, so that the join below reads two plain exchanges and a hot node can be split
         low = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
+        lows.append(low)
         out = both.join(low, "u")
         if large:
             return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
@@ -274,8 +298,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     before = mark(e)
     while before[0]:
-        e = settle(star(e, True), "large")
-        e = settle(star(e, False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        wide = settle(star(e, True), "large")
+        new = settle(star(wide, False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        discard(e, wide, *lows)
+        lows.clear()
+        e = new
         now = mark(e)
         if now == before:
             break

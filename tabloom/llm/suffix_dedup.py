@@ -1,28 +1,33 @@
 """Removal of repeated passages by distributed prefix doubling.
 
-A position is repeated if the `length` bytes from it also start somewhere else; all bytes of such strings go. The ranks of
-prefix doubling stand for the substrings of growing lengths that start at a position: here a rank is a 64-bit name, made of
-the pair of names of a string's two halves, so equal strings have equal names everywhere and no global numbering is needed.
-Every round sends (name, count) of the positions still in play to the bucket of the name's range, where they are sorted and
-counted over the corpus, and a position whose name is unique falls out:
-
-1. length/8, and length, at anchors only (positions chosen by their own 16 bytes, one in 32): a string that holds an anchor
-   unique at length/8 is unique, and an anchor repeated at full length covers its string.
-2. length/2 at the ends of the gaps between anchors that may still hold a start not covered from both sides: asked for where
-   another gap with the same continuation is in that state.
-3. full length at all positions of those gaps.
-
-So rounds carry a few positions in a hundred, and every repeated byte is found. A block of texts sends each name once with
-its count: thousands of copies of a passage are one entry a block.
-
-Strings are compared by 64-bit names. Defined results: null or empty texts have no bytes; texts shorter than `length` keep
-all; matches never cross texts; repeated rows cover each other whole; other columns are ignored.
+A position is repeated if the `length` bytes from it also start somewhere else; all bytes of such strings go. Repeats are found
+on a sparse suffix array. Its positions are the minimizers: of each window of W (64) positions the one whose eight bytes have
+the smallest key, the first on ties, so that equal strings choose alike and no two neighbours lie further apart than W. The
+reduced string has one symbol for each of them, the bytes up to and with the eight of the next one.
+
+1. Spark sorts the symbols (128-bit names of at most W + 8 bytes) over the corpus and numbers them: ranks of offset 1.
+2. At offsets 1, 2, 4, ... the pairs (rank at a position, rank that many positions on) are sorted by Spark and numbered anew.
+   A position whose pair is unique falls out; one whose next offset would lead past `length` bytes is done. This goes on until
+   every position is unique or past the threshold.
+3. A last pair of overlapping ranks reaches just past `length` from each position: where it is repeated, the string is.
+4. Between two such positions all bytes go anyway. Every other byte position whose ranks are still in play is decided
+   exactly: the pair of ranks that spans the minimizers of its own `length` bytes, with the bytes before and after them
+   (fewer than W each), is sorted by Spark once more. Positions that need no decision of their own take part where another
+   position with the same rank does: one exchange of ranks finds them.
+
+Ranks are numbers of sorted runs, so equality of ranks is equality of strings; only symbols and the short ends of step 4 are
+compared by 128-bit names. A block of texts sends each distinct pair once, marked if it occurs again there: thousands of
+copies are one row a block, and a run is numbered as a stream, so no group is gathered. Unique text, the bulk, sends one row for each 32 bytes or so
+in step 1 and nothing after.
+
+Defined results: null or empty texts have no bytes; texts shorter than `length` keep all; matches never cross texts; repeated
+rows cover each other whole; rows without a key are kept without one; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,189 +36,450 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
-from tabloom.llm.katz import cuts, narrow, wide
+from tabloom.llm.katz import narrow, wide
 
-BLOCK, SPARSE, SEED = 4 << 20, 32, 16
-_NAME = np.random.default_rng(4711).integers(1, 2**63, 4096, dtype=np.uint64)
+#: Bytes of text in a block, bytes looked at for a position's key, bits of a rank that number the runs of one task.
+BLOCK, SEED, RUN_BITS = 4 << 20, 8, 34
+_ORDER = np.uint64(0xA24BAED4963EE407)
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 
-def read_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, keys, sizes, text): texts in blocks of bounded size."""
-    C.arrow_limits(docs.sparkSession, BLOCK >> 20)
+def window_of(length: int) -> int:
+    """W: the largest power of two up to 64 and a sixth of the length, so that first and last window of a string never meet."""
+    if length < 24:
+        raise ValueError("repeats shorter than 24 bytes are not supported")
+    return min(64, 1 << ((length // 6).bit_length() - 1))
+
+
+def least_level(length: int) -> int:
+    """The highest offset (as a power of two) that the minimizers of every string of `length` bytes span."""
+    w = window_of(length)
+    return (-(-(length - 2 * w - SEED + 2) // w)).bit_length() - 1
+
+
+class Chunk:
+    """Some texts of a block: the minimizer of the window at each position, and the sorted minimizers."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int) -> None:
+        self.length, self.w, n = length, window_of(length), len(buf)
+        self.lanes = C.lanes(buf)
+        self.end = np.repeat(off[1:], np.diff(off))
+        at = np.arange(n)
+        low = (self.lanes[:n] * _ORDER & ~_LOW32) | at.astype(np.uint64)
+        step = 1
+        while step < self.w:
+            if n > step:
+                low[:-step] = np.minimum(low[:-step], low[step:])
+            step *= 2
+        self.window = at + (self.w + SEED - 1) <= self.end
+        self.low = (low & _LOW32).astype(np.int64)  # only where the window lies in one text
+        chosen = np.zeros(n, bool)
+        chosen[self.low[self.window]] = True
+        self.place = np.flatnonzero(chosen)
+        self.number = np.cumsum(chosen) - 1  # of the last minimizer up to each position
+        self.stop = self.end[self.place] if n else self.place
+
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each minimizer, how many positions on the first one past the threshold lies (or the last of its text), and whether there is one."""
+        goal = np.searchsorted(self.place, self.place + self.length - SEED)
+        last = np.searchsorted(self.place, self.stop) - 1
+        whole = goal <= last
+        return np.where(whole, goal, last) - np.arange(len(self.place)), whole
+
+    def gaps(self) -> np.ndarray:
+        """Bytes from each minimizer to the next one of its text, 0 for the last."""
+        out = np.zeros(len(self.place), np.int64)
+        out[:-1] = np.where(self.stop[:-1] == self.stop[1:], np.diff(self.place), 0)
+        return out
+
+    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which minimizers have a next one in their text, 128-bit names of the symbols in two halves)."""
+        has = np.flatnonzero((self.stop[:-1] == self.stop[1:])) if len(self.place) else np.zeros(0, np.int64)
+        return has, *name(self.lanes, self.place[has], self.place[has + 1] - self.place[has] + SEED)
+
+    def undecided(self, ranks: list[np.ndarray], full: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions that the ranks leave open here or, where asked, elsewhere; names of their strings in two halves)."""
+        n, none, level = len(self.end), np.zeros(0, np.int64), least_level(self.length)
+        if not len(self.place) or len(ranks) <= level:
+            return none, none.astype(np.uint64), none.astype(np.uint64)
+        starts = np.flatnonzero(np.arange(n) + self.length <= self.end)
+        first = self.number[self.low[starts]]
+        alive = ranks[level][first] > 0
+        starts, first = starts[alive], first[alive]
+        before = self.number[starts]
+        after = np.minimum(before + 1, len(self.place) - 1)
+        inside = before >= 0
+        left = np.maximum(before, 0)
+        sure = inside & full[left] & (self.place[left] == starts)
+        sure |= inside & full[left] & full[after] & (self.stop[left] == self.end[starts]) & (self.stop[after] == self.end[starts]) & (self.place[after] - self.place[left] <= self.length)
+        sure &= ~asked[first]
+        starts, first = starts[~sure], first[~sure]
+        last = self.number[self.low[starts + (self.length - SEED + 1 - self.w)]]
+        level = np.floor(np.log2(last - first)).astype(np.int64)
+        a, b = pick(ranks, level, first), pick(ranks, level, last - (1 << level))
+        open_ = (a > 0) & (b > 0)
+        starts, first, last, level, a, b = (x[open_] for x in (starts, first, last, level, a, b))
+        ahead, tail = self.place[first] - starts, self.place[last] + SEED
+        behind = starts + self.length - tail
+        parts = [*name(self.lanes, starts, ahead), *name(self.lanes, tail, behind)]
+        sizes = (ahead * 4096 + behind * 16 + level).astype(np.uint64)
+        out = []
+        for k in (0, 1):
+            h = C.mix(sizes + np.uint64(k + 7))
+            for x in (a.astype(np.uint64), b.astype(np.uint64), parts[k], parts[2 + k]):
+                h = C.mix((h ^ x) * C._M2 + np.uint64(2 * k + 1))
+            out.append(h)
+        return starts, out[0], out[1]
+
+
+def name(lanes: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return C.hash_runs(lanes, at, size, 11), C.hash_runs(lanes, at, size, 23)
+
+
+def pick(ranks: list[np.ndarray], level: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    for k in np.unique(level):
+        if k < len(ranks):
+            out[level == k] = ranks[k][at[level == k]]
+    return out
+
+
+def chunks(buf: np.ndarray, sizes: np.ndarray, length: int) -> Iterator[tuple[int, Chunk]]:
+    """(first byte, chunk) of runs of whole texts of a block, about a megabyte each."""
+    off, lo = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), "right")) - 1)
+        yield int(off[lo]), Chunk(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)
+        lo = hi
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first index of each distinct pair, which of them each pair is, how often it occurs)."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.bincount(which)
+
+
+# ---------------------------------------------------------------- sorting and ranking in Spark
+
+_PAIRS = "a long, b long, block long, code long"
+_RANKS = "block long, at int, rank long"
+
+
+def pair_rows(block: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Rows of a block's distinct pairs; code: number of the pair, doubled, and one more if it occurs again in the block."""
+    first, _, count = distinct_pairs(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.full(len(first), block)), pa.array(np.arange(len(first)) * 2 + (count > 1))], names=["a", "b", "block", "code"])
+
+
+def number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of sorted pairs: numbers of the runs of equal ones; runs of a single occurrence are unique and fall out.
+
+    A stream: what passes from batch to batch is the last pair, its weight and at most one row held back."""
+    top = (TaskContext.get().partitionId() << RUN_BITS) + 1
+    last, weight, held = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, block, code = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[0] = last != (a[0], b[0])
+        run = np.cumsum(new)
+        size = np.bincount(run, 1 + (code & 1))
+        if not new[0]:
+            size[0] += weight
+        keep = size[run] >= 2
+        rank, at = top + run, code >> 1
+        out = [block[keep], at[keep].astype(np.int32), rank[keep]]
+        if held is not None and not new[0] and size[0] >= 2:
+            out = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*held, top), out, strict=True)]
+        weight = int(size[-1])
+        top += int(run[-1])
+        last = (a[-1], b[-1])
+        if weight >= 2:
+            held = None
+        elif new[-1]:
+            held = (block[-1], at[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["block", "at", "rank"])
+
+
+def ranked(pairs: DataFrame, parts: int) -> DataFrame:
+    """(block, at, rank) of the pairs that occur more than once, sorted and numbered by Spark."""
+    return pairs.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(number_runs, _RANKS)
+
+
+def asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by rank and need (0 first), those without need whose rank is needed by another block."""
+    last, needed = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, block, _ = (c.to_numpy() for c in batch.columns)
+        new = np.concatenate([[a[0] != last], a[1:] != a[:-1]])
+        first = np.concatenate([[0], np.flatnonzero(new)])
+        wanted = b[first] == 0
+        wanted[0] = needed
+        flag = wanted[np.cumsum(new)]
+        last, needed = a[-1], bool(flag[-1])
+        keep = flag & (b == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(np.zeros(keep.sum(), np.int32)), pa.array(a[keep])], names=["block", "at", "rank"])
+
+
+def asked(pairs: DataFrame, parts: int) -> DataFrame:
+    return pairs.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(asked_runs, _RANKS)
+
+
+_STATE = "block long, n long, steps binary, gaps binary, whole binary, same binary, ranks array<binary>, open long"
+
+
+class State:
+    """The minimizers of a block: steps to the threshold, and the ranks of every offset so far (0: unique)."""
+
+    def __init__(self, row: dict) -> None:
+        self.block, self.n = row["block"], row["n"]
+        self.steps, self.gaps = wide(row["steps"], self.n), wide(row["gaps"], self.n)
+        self.whole = np.unpackbits(np.frombuffer(row["whole"], np.uint8))[: self.n].astype(bool)
+        self.same = row["same"]
+        self.ranks = [np.frombuffer(r, np.int64) for r in row["ranks"] or []]
+
+    def double(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions not yet past the threshold whose two ranks are both repeated, the ranks)."""
+        offset, rank = 1 << (len(self.ranks) - 1), self.ranks[-1]
+        at = np.flatnonzero((rank > 0) & (self.steps >= 2 * offset))
+        at = at[rank[at + offset] > 0]
+        return at, rank[at], rank[at + offset]
+
+    def reach(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions with a way past the threshold still in play, their two overlapping ranks, told apart by the steps between)."""
+        at = np.flatnonzero(self.whole & (self.ranks[0] > 0)) if self.ranks else np.zeros(0, np.int64)
+        level = np.floor(np.log2(self.steps[at])).astype(np.int64)
+        a, b = pick(self.ranks, level, at), pick(self.ranks, level, at + self.steps[at] - (1 << level))
+        ok = (a > 0) & (b > 0)
+        return at[ok], a[ok], b[ok] ^ (self.steps[at[ok]] << 54)
+
+    def fill(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, told: pa.Table) -> np.ndarray:
+        """New ranks: those told of the block's distinct pairs, at their positions."""
+        _, which, count = distinct_pairs(a, b)
+        value = np.zeros(len(count), np.int64)
+        value[told.column("at").to_numpy()] = told.column("rank").to_numpy()
+        out = np.zeros(self.n, np.int64)
+        out[at] = value[which]
+        return out
+
+    def needs(self, full: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct ranks of the level every string spans, whether a position of this block before such a minimizer may be open)."""
+        level, w = least_level(length), window_of(length)
+        if len(self.ranks) <= level:
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        rank, at = self.ranks[level], np.arange(self.n)
+        ends = self.gaps == 0  # the last of a text
+        loose = ends | ~full
+        loose[:-1] |= ~full[1:]
+        total = np.concatenate([[0], np.cumsum(loose)])
+        # positions along the block, with more than a window between texts
+        place = np.concatenate([[0], np.cumsum(np.where(ends, 4 * w, self.gaps))[:-1]])
+        low = np.searchsorted(place, place - w)
+        begin = np.concatenate([[True], ends[:-1]])
+        first = np.maximum.accumulate(np.where(begin, at, 0))
+        need = (total[at + 1] > total[np.maximum(low - 1, first)]) | (low - 1 < first)
+        alive = np.flatnonzero(rank > 0)
+        value, which = np.unique(rank[alive], return_inverse=True)
+        return value, np.bincount(which, need[alive], len(value)) > 0
+
+    def row(self) -> pa.Table:
+        """The state as a table of one row."""
+        columns = [[self.block], [self.n], [narrow(self.steps)], [narrow(self.gaps)], [np.packbits(self.whole).tobytes()], [self.same], [[r.tobytes() for r in self.ranks]], [len(self.double()[0]) if self.ranks else 0]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(["block", "n", "steps", "gaps", "whole", "same", "ranks", "open"], columns, kinds, strict=True)})
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
+
+
+# ---------------------------------------------------------------- the passes over text
+
+
+def read_blocks(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """Texts in blocks of bounded size with the steps of their minimizers; same: index of the first minimizer with the same symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in batches:
             for lo, hi, buf, off in C.text_chunks(b.column(1), BLOCK):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), C.binary_array([C.pack_keys(b.column(0).slice(lo, hi - lo))]), C.binary_array([np.diff(off).tobytes()]), C.binary_array([buf.tobytes()])],
-                    names=["block", "keys", "sizes", "text"],
-                )
+                sizes = np.diff(off)
+                steps, gaps, whole, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
+                at, one, two = ([np.zeros(0, k)] for k in (np.int64, np.uint64, np.uint64))
+                for _, c in chunks(buf, sizes, length):
+                    s, w = c.steps()
+                    has, x, y = c.symbols()
+                    for out, v in ((steps, s), (gaps, c.gaps()), (whole, w), (at, has + count), (one, x), (two, y)):
+                        out.append(v)
+                    count += len(s)
+                has = np.concatenate(at)
+                first, which, _ = distinct_pairs(np.concatenate(one), np.concatenate(two))
+                same = np.full(count, -1, np.int64)
+                same[has] = which
+                parts = [np.concatenate(steps), np.concatenate(gaps), np.concatenate(whole)]
+                columns = [block, C.pack_keys(b.column(0).slice(lo, hi - lo)), sizes.tobytes(), buf.tobytes(), count, narrow(parts[0]), narrow(parts[1]), np.packbits(parts[2]).tobytes(), narrow(same + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, [pa.int64(), *[pa.binary()] * 3, pa.int64(), *[pa.binary()] * 4], strict=True)], names=["block", "keys", "sizes", "text", "n", "steps", "gaps", "whole", "same"])
                 block += 1
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "block long, keys binary, sizes binary, text binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "block long, keys binary, sizes binary, text binary, n long, steps binary, gaps binary, whole binary, same binary")
 
 
-class Chunk:
-    """Some texts of a block: names of substrings, anchors, and what the rounds have told about them."""
+def symbol_rows(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            names = [c.symbols()[1:] for _, c in chunks(np.frombuffer(r["text"], np.uint8), np.frombuffer(r["sizes"], np.int64), length)]
+            if names:
+                yield pair_rows(r["block"], *(np.concatenate(x) for x in zip(*names, strict=True)))
+
+    return run
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int) -> None:
-        self.buf, self.off, self.length, n = buf, off, length, len(buf)
-        self.end = np.repeat(off[1:], np.diff(off))
-        self.power, self.inverse = C.powers(n)
-        self.total = np.empty(n + 1, np.uint64)
-        self.total[0] = 0
-        np.cumsum(C._BYTE[buf] * self.power[:n], out=self.total[1:])
-        self.start = np.arange(n)
-        self.window = self.start + length <= self.end  # starts of full strings
-        raw = C.mix((self.total[SEED:] - self.total[:-SEED]) * self.inverse[: n + 1 - SEED]) if n >= SEED else np.zeros(0, np.uint64)
-        chosen = np.flatnonzero((raw & np.uint64(SPARSE - 1)) == 0)
-        long = np.diff(off)[np.searchsorted(off, chosen, "right") - 1] >= length
-        self.anchors = chosen[long & (chosen + length // 8 <= self.end[chosen])]
-        self.whole = self.window[self.anchors]
-
-    def names(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Names of the strings of `size` bytes from the positions: of the pair of its halves' names, a doubling a step."""
-        half = size // 2
-        left = (self.total[at + half] - self.total[at]) * self.inverse[at]
-        right = (self.total[at + size] - self.total[at + half]) * self.inverse[at + half]
-        return C.mix(C.mix(left) * np.uint64(0x9E3779B97F4A7C15) + C.mix(right ^ _NAME[size % 4096]))
-
-    def first_round(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.names(self.anchors, self.length // 8), self.names(self.anchors[self.whole], self.length)
-
-    def learn(self, shared: np.ndarray, covered: np.ndarray) -> None:
-        """shared: anchors repeated at length/8; covered: whole anchors repeated at full length."""
-        n = len(self.buf)
-        full = np.zeros(len(self.anchors), bool)
-        full[self.whole] = covered
-        self.full = full
-        unique = np.zeros(n + 1, np.int32)
-        unique[self.anchors[~shared] + 1] = 1
-        np.cumsum(unique, out=unique)
-        at = np.flatnonzero(self.window)
-        alive = unique[at + self.length - self.length // 8 + 1] == unique[at]
-        at = at[alive]
-        k = np.searchsorted(self.anchors, at)
-        known = np.zeros(len(at), bool)
-        inside = k < len(self.anchors)
-        known[inside] = self.anchors[k[inside]] == at[inside]
-        at, k = at[~known], k[~known]
-        ahead = np.full(len(at), 1 << 40)
-        inside = k < len(self.anchors)
-        ahead[inside] = self.anchors[k[inside]] - at[inside]
-        near = ahead <= self.length // 2
-        near &= np.where(inside, self.end[np.minimum(self.anchors[np.minimum(k, max(len(self.anchors) - 1, 0))], n - 1)] == self.end[at], False) if len(self.anchors) else False
-        self.lone = at[~near]
-        self.gap, self.inner = k[near], at[near]
-        self.ends = np.unique(self.gap)
-        before = np.maximum(self.ends - 1, 0)
-        if len(self.ends):
-            a, z = self.anchors[before], self.anchors[self.ends]
-            same = (self.ends > 0) & (self.end[a] == self.end[z]) & (z - a <= self.length)
-            self.needy = ~(same & full[before] & full[self.ends])
-        else:
-            self.needy = np.zeros(0, bool)
-
-    def second_round(self) -> np.ndarray:
-        return self.names(self.anchors[self.ends], self.length // 2)
-
-    def third_round(self, asked: np.ndarray) -> np.ndarray:
-        """Positions to be named at full length."""
-        keep = asked[np.searchsorted(self.ends, self.gap)] if len(self.ends) else np.zeros(0, bool)
-        self.open = np.concatenate([self.lone, self.inner[keep]])
-        return self.names(self.open, self.length)
-
-    def removed(self, repeated: np.ndarray) -> np.ndarray:
-        """Which bytes go."""
-        at = np.concatenate([self.anchors[self.full], self.open[repeated]])
-        step = np.zeros(len(self.buf) + 1, np.int32)
-        np.add.at(step, at, 1)
-        np.subtract.at(step, at + self.length, 1)
-        return np.cumsum(step[:-1]) > 0
-
-
-def tally(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys and the sums of their values (without values: how often each occurs)."""
-    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    name, where = np.unique(every, return_inverse=True)
-    out = [np.bincount(where, minlength=len(name))]
-    return name, out + [np.bincount(where, np.concatenate(v), len(name)).astype(np.int64) for v in values]
-
-
-class Block:
-    def __init__(self, row: pa.Table, length: int, parts: int, answers: pa.Table | None = None) -> None:
-        get = lambda c: row.column(c)[0].as_py()
-        self.block, self.parts, self.length = get("block"), parts, length
-        self.keys, sizes = np.frombuffer(get("keys"), np.int64), np.frombuffer(get("sizes"), np.int64)
-        self.buf, self.off = np.frombuffer(get("text"), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-        self.chunks, lo = [], 0
-        while lo < len(sizes):
-            hi = max(lo + 1, int(np.searchsorted(self.off, self.off[lo] + (1 << 20), "right")) - 1)
-            self.chunks.append(Chunk(self.buf[self.off[lo] : self.off[hi]], self.off[lo : hi + 1] - self.off[lo], length))
-            lo = hi
-        self.answers: dict[int, list[bytes]] = {}
-        if answers is not None:
-            for r, _, x in sorted(zip(answers.column("round").to_pylist(), answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)):
-                self.answers.setdefault(r, []).append(x)
-
-    def bits(self, r: int, names: np.ndarray) -> np.ndarray:
-        at = np.diff(cuts(names, self.parts))
-        parts = [np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(self.answers.get(r, []), at[at > 0], strict=True)]
-        return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
-
-    def ask(self, r: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Names of a round with their counts (and in the second, how many are in need), after the answers of those before."""
-        first = [c.first_round() for c in self.chunks]
-        names, counts = tally([x for pair in first for x in pair])
-        if r == 1:
-            return names, counts
-        bits = self.bits(1, names)
-        for c, (a, b) in zip(self.chunks, first, strict=True):
-            c.learn(bits[np.searchsorted(names, a)], bits[np.searchsorted(names, b)])
-        second = [c.second_round() for c in self.chunks]
-        names, counts = tally(second, [c.needy for c in self.chunks])
-        if r == 2:
-            return names, counts
-        bits = self.bits(2, names)
-        return tally([c.third_round(bits[np.searchsorted(names, s)]) for c, s in zip(self.chunks, second, strict=True)])
-
-    def removed(self) -> np.ndarray:
-        names, _ = self.ask(3)
-        bits = self.bits(3, names)
-        return np.concatenate([c.removed(bits[np.searchsorted(names, c.names(c.open, self.length))]) for c in self.chunks])
-
-
-_ASK = "bucket int, block long, names binary, counts binary, needy binary"
-_ANSWER = "`round` int, bucket int, block long, bits binary"
-
-
-def question(b: Block, r: int) -> pa.RecordBatch:
-    names, counts = b.ask(r)
-    at = cuts(names, b.parts)
-    full = [k for k in range(b.parts) if at[k + 1] > at[k]]
-    cut = lambda x: C.binary_array([narrow(x[at[k] : at[k + 1]]) for k in full])
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b.block] * len(full), pa.int64()), C.binary_array([names[at[k] : at[k + 1]].tobytes() for k in full]), cut(np.minimum(counts[0], 2)), cut(np.minimum(counts[-1], 2))], names=["bucket", "block", "names", "counts", "needy"])
-
-
-def answer(r: int):
-    """A bucket's names sorted and counted: to each block whether its names are repeated (second round: and in need somewhere)."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("names")]
-        value = lambda c: np.concatenate([wide(x.as_py(), len(k)) for x, k in zip(group.column(c), names, strict=True)])
-        every = np.concatenate(names)
-        order = np.argsort(every)
-        ranked = every[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        yes = np.add.reduceat(value("counts")[order], first) >= 2
-        if r == 2:
-            yes &= np.add.reduceat(value("needy")[order], first) >= 1
-        back = np.empty(len(every), bool)
-        back[order] = np.repeat(yes, np.diff(np.append(first, len(every))))
-        at = np.cumsum([0, *map(len, names)])
-        bucket = int(key[0].as_py())
-        return pa.table({"round": pa.array([r] * len(names), pa.int32()), "bucket": pa.array([bucket] * len(names), pa.int32()), "block": group.column("block"), "bits": C.binary_array([np.packbits(back[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)])})
+
+def state_rows(pairs_of: Callable[[State], tuple]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            s = State(r)
+            _, a, b = pairs_of(s)
+            if len(a):
+                yield pair_rows(s.block, a, b)
+
+    return run
+
+
+def first_ranks(row: pa.Table, told: pa.Table) -> pa.Table:
+    if not row.num_rows:
+        return _empty_state()
+    s = State(row.to_pylist()[0])
+    which = wide(s.same, s.n) - 1
+    value = np.zeros(int(which.max(initial=-1)) + 2, np.int64)
+    value[told.column("at").to_numpy()] = told.column("rank").to_numpy()
+    s.ranks, s.same = [np.where(which >= 0, value[which], 0)], b""
+    return s.row()
+
+
+def next_ranks(row: pa.Table, told: pa.Table) -> pa.Table:
+    if not row.num_rows:
+        return _empty_state()
+    s = State(row.to_pylist()[0])
+    s.ranks.append(s.fill(*s.double(), told))
+    return s.row()
+
+
+def _empty_state() -> pa.Table:
+    return pa.table({n: pa.array([], t) for n, t in (("block", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("gaps", pa.binary()), ("whole", pa.binary()), ("same", pa.binary()), ("ranks", pa.list_(pa.binary())), ("open", pa.int64()))})
+
+
+_KNOWN = "block long, n long, gaps binary, ranks array<binary>, full binary"
+
+
+def reached(row: pa.Table, told: pa.Table) -> pa.Table:
+    s = State(row.to_pylist()[0])
+    full = s.fill(*s.reach(), told) > 0
+    return pa.table({"block": pa.array([s.block]), "n": pa.array([s.n]), "gaps": row.column("gaps"), "ranks": pa.array([[r.tobytes() for r in s.ranks]], pa.list_(pa.binary())), "full": C.binary_array([np.packbits(full).tobytes()])})
+
+
+def known_state(row: dict) -> tuple[State, np.ndarray]:
+    s = State(row | {"steps": bytes(row["n"]), "whole": row["full"], "same": b""})
+    return s, s.whole
+
+
+def need_rows(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            s, full = known_state(r)
+            value, need = s.needs(full, length)
+            if len(value):
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array((~need).astype(np.int64)), pa.array(np.full(len(value), s.block)), pa.array(np.zeros(len(value), np.int64))], names=["a", "b", "block", "code"])
+
+    return run
+
+
+def with_asked(length: int) -> Callable:
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        s, full = known_state(row.to_pylist()[0])
+        value, need = s.needs(full, length)
+        wanted = np.concatenate([value[need], told.column("rank").to_numpy()])
+        flag = np.isin(s.ranks[least_level(length)], wanted) if len(value) else np.zeros(s.n, bool)
+        return pa.table({"block": pa.array([s.block]), "ranks": row.column("ranks"), "full": row.column("full"), "asked": C.binary_array([np.packbits(flag).tobytes()])})
+
+    return run
+
+
+_OPEN = "block long, sure binary, at binary, which binary, a binary, b binary"
+
+
+def open_positions(length: int) -> Callable:
+    """A block's text and ranks to the starts that are sure, and those still open with the names of their strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            ranks = [np.frombuffer(x, np.int64) for x in r["ranks"]]
+            full, wanted = (np.unpackbits(np.frombuffer(r[c], np.uint8)).astype(bool) for c in ("full", "asked"))
+            sure, at, one, two = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.uint64, np.uint64))
+            count = 0
+            for first, c in chunks(np.frombuffer(r["text"], np.uint8), np.frombuffer(r["sizes"], np.int64), length):
+                mine = slice(count, count + len(c.place))
+                count += len(c.place)
+                p, a, b = c.undecided([x[mine] for x in ranks], full[mine], wanted[mine])
+                sure.append(c.place[full[mine]] + first)
+                at.append(p + first)
+                one.append(a)
+                two.append(b)
+            a, b = np.concatenate(one), np.concatenate(two)
+            k, which, times = distinct_pairs(a, b)
+            again = times > 1  # repeated in this block already: sent too, for the other blocks' sake
+            columns = [np.concatenate(sure), np.concatenate(at), which * 2 + again[which], a[k], b[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), *[C.binary_array([x.tobytes()]) for x in columns]], names=["block", "sure", "at", "which", "a", "b"])
+
+    return run
+
+
+def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for r in rows_of(batches):
+        a, b, which = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), np.frombuffer(r["which"], np.int64)
+        if len(a):
+            code = np.zeros(len(a), np.int64)
+            code[which >> 1] = which
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), r["block"])), pa.array(code)], names=["a", "b", "block", "code"])
+
+
+def decided(row: pa.Table, told: pa.Table) -> pa.Table:
+    """All starts of repeated strings of a block."""
+    sure, at, which = (np.frombuffer(row.column(c)[0].as_py(), np.int64) for c in ("sure", "at", "which"))
+    yes = np.zeros(len(row.column("a")[0].as_py()) // 8, bool)
+    yes[told.column("at").to_numpy()] = True
+    return pa.table({"block": row.column("block"), "starts": C.binary_array([np.concatenate([sure, at[yes[which >> 1]]]).tobytes()])})
+
+
+def cut_out(key: str, length: int, with_kept: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            buf, sizes, starts = np.frombuffer(r["text"], np.uint8), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["starts"], np.int64)
+            off = np.concatenate([[0], np.cumsum(sizes)])
+            step = np.bincount(starts, minlength=len(buf) + 1) - np.bincount(starts + length, minlength=len(buf) + 1)
+            gone = np.cumsum(step[: len(buf)]) > 0
+            spans, digest, kept = [], [], []
+            for x, y in zip(off[:-1], off[1:], strict=True):
+                cut, raw = gone[x:y], buf[x:y]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
+                spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                left = raw[~cut].tobytes()
+                digest.append(hashlib.sha256(left).hexdigest())
+                if with_kept:
+                    kept.append(left)
+            columns = [C.unpack_keys(np.frombuffer(r["keys"], np.int64)), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [C.binary_array(kept)] * with_kept, names=[key, "n_bytes", "spans", "kept_sha256"] + ["kept"] * with_kept)
 
     return run
 
@@ -221,50 +487,39 @@ def answer(r: int):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, with_kept: bool = True) -> DataFrame:
     """(key, n_bytes, spans: start and length in bytes of the maximal removed runs, kept_sha256, and with_kept: the bytes left)."""
     spark = docs.sparkSession
-    parts = C.buckets(spark, 1)
-    blocks = C.settle(read_blocks(docs, key, text), "text-blocks")
+    window_of(length)
+    C.arrow_limits(spark, BLOCK >> 20)
+    blocks = C.settle(read_blocks(docs, key, text, length), "text-blocks")
     C.arrow_limits(spark, 64)
-    answers: list[DataFrame] = []
-
-    def both() -> object:
-        every = answers[0]
-        for a in answers[1:]:
-            every = every.unionByName(a)
-        return blocks.groupBy("block").cogroup(every.groupBy("block"))
-
-    def asked(r: int) -> DataFrame:
-        if r == 1:
-
-            def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for i in range(batch.num_rows):
-                        yield question(Block(pa.Table.from_batches([batch.slice(i, 1)]), length, parts), 1)
-
-            return blocks.mapInArrow(alone, _ASK)
-
-        def joined(row: pa.Table, told: pa.Table) -> pa.Table:
-            return pa.Table.from_batches([question(Block(row, length, parts, told), r)])
-
-        return both().applyInArrow(joined, _ASK)
-
-    for r in (1, 2, 3):
-        answers.append(C.settle(asked(r).groupBy("bucket").applyInArrow(answer(r), _ANSWER), f"round-{r}"))
-
-    def final(row: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block(row, length, parts, told)
-        gone = b.removed()
-        spans, digest, kept = [], [], []
-        for x, y in zip(b.off[:-1], b.off[1:], strict=True):
-            cut, raw = gone[x:y], b.buf[x:y]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.astype(np.int8), [0]])))
-            spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            left = raw[~cut].tobytes()
-            digest.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        columns = {key: C.unpack_keys(b.keys), "n_bytes": pa.array(np.diff(b.off)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), "kept_sha256": pa.array(digest, pa.string())}
-        if with_kept:
-            columns["kept"] = C.binary_array(kept)
-        return pa.table(columns)
-
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = C.buckets(spark, 32 * total)
+
+    def told(rows: DataFrame) -> DataFrame:
+        return C.settle(ranked(rows, parts), "ranks")
+
+    def by_block(left: DataFrame, answers: DataFrame, f: Callable, schema: str, name: str) -> DataFrame:
+        out = C.settle(left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, schema), name)
+        C.discard(answers)
+        return out
+
+    bare = blocks.select("block", "n", "steps", "gaps", "whole", "same", F.lit(None).cast("array<binary>").alias("ranks"))
+    answers = told(blocks.select("block", "sizes", "text").mapInArrow(symbol_rows(length), _PAIRS))
+    state = by_block(bare, answers, first_ranks, _STATE, "state")
+    while state.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]:
+        answers = told(state.where("open > 0").mapInArrow(state_rows(State.double), _PAIRS))
+        new = by_block(state, answers, next_ranks, _STATE, "state")
+        C.discard(state)
+        state = new
+    answers = told(state.mapInArrow(state_rows(State.reach), _PAIRS))
+    reach = by_block(state, answers, reached, _KNOWN, "reached")
+    C.discard(state)
+    answers = C.settle(asked(reach.mapInArrow(need_rows(length), _PAIRS), parts), "asked")
+    known = by_block(reach, answers, with_asked(length), "block long, ranks array<binary>, full binary, asked binary", "known")
+    C.discard(reach)
+    found = C.settle(blocks.select("block", "sizes", "text").join(known, "block").mapInArrow(open_positions(length), _OPEN), "open")
+    C.discard(known)
+    answers = told(found.select("block", "which", "a", "b").mapInArrow(open_rows, _PAIRS))
+    starts = by_block(found, answers, decided, "block long, starts binary", "starts")
+    C.discard(found)
     schema = f"`{key}` long, n_bytes long, spans array<struct<start:long,length:long>>, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return both().applyInArrow(final, schema)
+    return blocks.select("block", "keys", "sizes", "text").join(starts, "block").mapInArrow(cut_out(key, length, with_kept), schema)
