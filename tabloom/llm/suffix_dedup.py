@@ -12,8 +12,9 @@ reduced string has one symbol for each of them, the bytes up to and with the eig
 3. A last pair of overlapping ranks reaches just past `length` from each position: where it is repeated, the string is.
 4. Between two such positions all bytes go anyway. Every other byte position whose ranks are still in play is decided
    exactly: the pair of ranks that spans the minimizers of its own `length` bytes, with the bytes before and after them
-   (fewer than W each), is sorted by Spark once more. Positions that need no decision of their own take part where another
-   position with the same rank does: one exchange of ranks finds them.
+   (fewer than W each), is sorted by Spark once more. Positions that need no decision of their own are evidence where another
+   position with the same rank needs one: an exchange of ranks finds them, and of all alike (the same two ranks past the
+   threshold around them) a single one is asked.
 
 Ranks are numbers of sorted runs, so equality of ranks is equality of strings; only symbols and the short ends of step 4 are
 compared by 128-bit names. A block of texts sends each distinct pair once, marked if it occurs again there: thousands of
@@ -112,7 +113,7 @@ class Chunk:
         left = np.maximum(before, 0)
         sure = inside & full[left] & (self.place[left] == starts)
         sure |= inside & full[left] & full[after] & (self.stop[left] == self.end[starts]) & (self.stop[after] == self.end[starts]) & (self.place[after] - self.place[left] <= self.length)
-        sure &= ~asked[first]
+        sure &= ~asked[left]
         starts, first = starts[~sure], first[~sure]
         last = self.number[self.low[starts + (self.length - SEED + 1 - self.w)]]
         level = np.floor(np.log2(last - first)).astype(np.int64)
@@ -215,24 +216,35 @@ def ranked(pairs: DataFrame, parts: int) -> DataFrame:
 
 
 def asked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by rank and need (0 first), those without need whose rank is needed by another block."""
-    last, needed = None, False
+    """Of rows sorted by rank, and within it by evidence (0: need), the first of each evidence where there is need."""
+    last, needed = (None, None, None), False
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b, block, _ = (c.to_numpy() for c in batch.columns)
-        new = np.concatenate([[a[0] != last], a[1:] != a[:-1]])
-        first = np.concatenate([[0], np.flatnonzero(new)])
-        wanted = b[first] == 0
-        wanted[0] = needed
+        a, b, c, block, code = (x.to_numpy() for x in batch.columns)
+        new = np.concatenate([[a[0] != last[0]], a[1:] != a[:-1]])
+        fresh = np.concatenate([[(b[0], c[0]) != last[1:]], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) | new
+        wanted = np.concatenate([[needed], b[new] == 0])
         flag = wanted[np.cumsum(new)]
-        last, needed = a[-1], bool(flag[-1])
-        keep = flag & (b == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(np.zeros(keep.sum(), np.int32)), pa.array(a[keep])], names=["block", "at", "rank"])
+        last, needed = (a[-1], b[-1], c[-1]), bool(flag[-1])
+        keep = flag & fresh & (b != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(code[keep].astype(np.int32)), pa.array(a[keep])], names=["block", "at", "rank"])
 
 
-def asked(pairs: DataFrame, parts: int) -> DataFrame:
-    return pairs.repartition(parts, "a").sortWithinPartitions("a", "b").mapInArrow(asked_runs, _RANKS)
+def asked(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "a").sortWithinPartitions("a", "b", "c", "block").mapInArrow(asked_runs, _RANKS)
+
+
+def sparse(rank: np.ndarray) -> bytes:
+    """Positions and values of the ranks above 0."""
+    at = np.flatnonzero(rank)
+    return at.astype(np.uint32).tobytes() + rank[at].tobytes()
+
+
+def dense(raw: bytes, n: int) -> np.ndarray:
+    out, k = np.zeros(n, np.int64), len(raw) // 12
+    out[np.frombuffer(raw, np.uint32, k)] = np.frombuffer(raw, np.int64, k, 4 * k)
+    return out
 
 
 _STATE = "block long, n long, steps binary, gaps binary, whole binary, same binary, ranks array<binary>, open long"
@@ -246,7 +258,7 @@ class State:
         self.steps, self.gaps = wide(row["steps"], self.n), wide(row["gaps"], self.n)
         self.whole = np.unpackbits(np.frombuffer(row["whole"], np.uint8))[: self.n].astype(bool)
         self.same = row["same"]
-        self.ranks = [np.frombuffer(r, np.int64) for r in row["ranks"] or []]
+        self.ranks = [dense(r, self.n) for r in row["ranks"] or []]
 
     def double(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions not yet past the threshold whose two ranks are both repeated, the ranks)."""
@@ -257,7 +269,7 @@ class State:
 
     def reach(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions with a way past the threshold still in play, their two overlapping ranks, told apart by the steps between)."""
-        at = np.flatnonzero(self.whole & (self.ranks[0] > 0)) if self.ranks else np.zeros(0, np.int64)
+        at = np.flatnonzero(self.whole)
         level = np.floor(np.log2(self.steps[at])).astype(np.int64)
         a, b = pick(self.ranks, level, at), pick(self.ranks, level, at + self.steps[at] - (1 << level))
         ok = (a > 0) & (b > 0)
@@ -272,29 +284,49 @@ class State:
         out[at] = value[which]
         return out
 
-    def needs(self, full: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct ranks of the level every string spans, whether a position of this block before such a minimizer may be open)."""
+    def needs(self, reach: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rank, b, c, gap): of the gap before each minimizer, the ranks that the strings from its positions may start with, by
+        the first level that every string spans; b and c are 0 where positions of the gap may be open, else the ranks past the
+        threshold on both sides, which decide all strings from there. A gap is named by the minimizer it starts at."""
         level, w = least_level(length), window_of(length)
-        if len(self.ranks) <= level:
-            return np.zeros(0, np.int64), np.zeros(0, bool)
-        rank, at = self.ranks[level], np.arange(self.n)
-        ends = self.gaps == 0  # the last of a text
-        loose = ends | ~full
-        loose[:-1] |= ~full[1:]
-        total = np.concatenate([[0], np.cumsum(loose)])
-        # positions along the block, with more than a window between texts
+        if len(self.ranks) <= level or not self.n:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        rank, ends = self.ranks[level], self.gaps == 0  # ends: the last minimizer of a text
         place = np.concatenate([[0], np.cumsum(np.where(ends, 4 * w, self.gaps))[:-1]])
-        low = np.searchsorted(place, place - w)
-        begin = np.concatenate([[True], ends[:-1]])
-        first = np.maximum.accumulate(np.where(begin, at, 0))
-        need = (total[at + 1] > total[np.maximum(low - 1, first)]) | (low - 1 < first)
-        alive = np.flatnonzero(rank > 0)
-        value, which = np.unique(rank[alive], return_inverse=True)
-        return value, np.bincount(which, need[alive], len(value)) > 0
-
-    def row(self) -> pa.Table:
+        text = np.cumsum(np.concatenate([[0], ends[:-1]]))
+        right = np.append(reach[1:], 0)
+        sure = ~ends & (reach > 0) & (right > 0)
+        out = [], [], []
+
+        def put(gap: np.ndarray, to: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+            ok = rank[to] > 0
+            out[0].append(rank[to][ok])
+            out[1].append(np.stack([b[ok], c[ok]], 1))
+            out[2].append(gap[ok])
+
+        at, none = np.arange(self.n), np.zeros(self.n, np.int64)
+        b, c = np.where(sure, reach, 0), np.where(sure, right, 0)
+        begin = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+        put(begin, begin, none[begin], none[begin])  # positions before the first minimizer of a text
+        step = 0
+        while len(at):
+            put(at, at + step, b[at], c[at])
+            step += 1
+            at = at[at + step < self.n]
+            at = at[(text[at + step] == text[at]) & (place[at + step] - place[at + 1] < w)]
+            more = begin[begin + step < self.n]
+            more = more[(text[more + step] == text[more]) & (place[more + step] - place[more] < w)]
+            put(more, more + step, none[more], none[more])
+        rank, both, gap = (np.concatenate(x) for x in out)
+        return rank, both[:, 0], both[:, 1], gap
+
+    def packed(self, length: int) -> list[bytes]:
+        """The ranks, without those of levels that no later step reads."""
+        return [sparse(r) if k >= least_level(length) or k == len(self.ranks) - 1 else b"" for k, r in enumerate(self.ranks)]
+
+    def row(self, length: int) -> pa.Table:
         """The state as a table of one row."""
-        columns = [[self.block], [self.n], [narrow(self.steps)], [narrow(self.gaps)], [np.packbits(self.whole).tobytes()], [self.same], [[r.tobytes() for r in self.ranks]], [len(self.double()[0]) if self.ranks else 0]]
+        columns = [[self.block], [self.n], [narrow(self.steps)], [narrow(self.gaps)], [np.packbits(self.whole).tobytes()], [self.same], [self.packed(length)], [len(self.double()[0]) if self.ranks else 0]]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int64()]
         return pa.table({k: pa.array(c, t) for k, c, t in zip(["block", "n", "steps", "gaps", "whole", "same", "ranks", "open"], columns, kinds, strict=True)})
 
@@ -357,61 +389,76 @@ def state_rows(pairs_of: Callable[[State], tuple]) -> Callable:
     return run
 
 
-def first_ranks(row: pa.Table, told: pa.Table) -> pa.Table:
-    if not row.num_rows:
-        return _empty_state()
-    s = State(row.to_pylist()[0])
-    which = wide(s.same, s.n) - 1
-    value = np.zeros(int(which.max(initial=-1)) + 2, np.int64)
-    value[told.column("at").to_numpy()] = told.column("rank").to_numpy()
-    s.ranks, s.same = [np.where(which >= 0, value[which], 0)], b""
-    return s.row()
+def first_ranks(length: int) -> Callable:
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _empty_state()
+        s = State(row.to_pylist()[0])
+        which = wide(s.same, s.n) - 1
+        value = np.zeros(int(which.max(initial=-1)) + 2, np.int64)
+        value[told.column("at").to_numpy()] = told.column("rank").to_numpy()
+        s.ranks, s.same = [np.where(which >= 0, value[which], 0)], b""
+        return s.row(length)
 
+    return run
 
-def next_ranks(row: pa.Table, told: pa.Table) -> pa.Table:
-    if not row.num_rows:
-        return _empty_state()
-    s = State(row.to_pylist()[0])
-    s.ranks.append(s.fill(*s.double(), told))
-    return s.row()
+
+def next_ranks(length: int) -> Callable:
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _empty_state()
+        s = State(row.to_pylist()[0])
+        s.ranks.append(s.fill(*s.double(), told))
+        return s.row(length)
+
+    return run
 
 
 def _empty_state() -> pa.Table:
     return pa.table({n: pa.array([], t) for n, t in (("block", pa.int64()), ("n", pa.int64()), ("steps", pa.binary()), ("gaps", pa.binary()), ("whole", pa.binary()), ("same", pa.binary()), ("ranks", pa.list_(pa.binary())), ("open", pa.int64()))})
 
 
-_KNOWN = "block long, n long, gaps binary, ranks array<binary>, full binary"
+_KNOWN = "block long, n long, gaps binary, ranks array<binary>, reach binary"
+_ASKS = "a long, b long, c long, block long, code long"
 
 
-def reached(row: pa.Table, told: pa.Table) -> pa.Table:
-    s = State(row.to_pylist()[0])
-    full = s.fill(*s.reach(), told) > 0
-    return pa.table({"block": pa.array([s.block]), "n": pa.array([s.n]), "gaps": row.column("gaps"), "ranks": pa.array([[r.tobytes() for r in s.ranks]], pa.list_(pa.binary())), "full": C.binary_array([np.packbits(full).tobytes()])})
+def reached(length: int) -> Callable:
+    def run(row: pa.Table, told: pa.Table) -> pa.Table:
+        s = State(row.to_pylist()[0])
+        reach = s.fill(*s.reach(), told)
+        ranks = [r if k >= least_level(length) else b"" for k, r in enumerate(s.packed(length))]
+        return pa.table({"block": pa.array([s.block]), "n": pa.array([s.n]), "gaps": row.column("gaps"), "ranks": pa.array([ranks], pa.list_(pa.binary())), "reach": C.binary_array([sparse(reach)])})
+
+    return run
 
 
-def known_state(row: dict) -> tuple[State, np.ndarray]:
-    s = State(row | {"steps": bytes(row["n"]), "whole": row["full"], "same": b""})
-    return s, s.whole
+def needed(row: dict, length: int) -> tuple[np.ndarray, ...]:
+    """The distinct rows of a block's needs, and of each one its gap."""
+    s = State(row | {"steps": bytes(row["n"]), "whole": bytes(row["n"]), "same": b""})
+    a, b, c, gap = s.needs(dense(row["reach"], s.n), length)
+    order = np.lexsort((c, b, a))
+    x, y, z = a[order], b[order], c[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
+    return x[new], y[new], z[new], gap[order][new]
 
 
 def need_rows(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            s, full = known_state(r)
-            value, need = s.needs(full, length)
-            if len(value):
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array((~need).astype(np.int64)), pa.array(np.full(len(value), s.block)), pa.array(np.zeros(len(value), np.int64))], names=["a", "b", "block", "code"])
+            a, b, c, _ = needed(r, length)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(np.full(len(a), r["block"])), pa.array(np.arange(len(a)))], names=["a", "b", "c", "block", "code"])
 
     return run
 
 
 def with_asked(length: int) -> Callable:
     def run(row: pa.Table, told: pa.Table) -> pa.Table:
-        s, full = known_state(row.to_pylist()[0])
-        value, need = s.needs(full, length)
-        wanted = np.concatenate([value[need], told.column("rank").to_numpy()])
-        flag = np.isin(s.ranks[least_level(length)], wanted) if len(value) else np.zeros(s.n, bool)
-        return pa.table({"block": pa.array([s.block]), "ranks": row.column("ranks"), "full": row.column("full"), "asked": C.binary_array([np.packbits(flag).tobytes()])})
+        r = row.to_pylist()[0]
+        flag = np.zeros(r["n"], bool)
+        flag[needed(r, length)[3][told.column("at").to_numpy()]] = True
+        full = dense(r["reach"], r["n"]) > 0
+        return pa.table({"block": row.column("block"), "n": row.column("n"), "ranks": row.column("ranks"), "full": C.binary_array([np.packbits(full).tobytes()]), "asked": C.binary_array([np.packbits(flag).tobytes()])})
 
     return run
 
@@ -424,7 +471,7 @@ def open_positions(length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
-            ranks = [np.frombuffer(x, np.int64) for x in r["ranks"]]
+            ranks = [dense(x, r["n"]) for x in r["ranks"]]
             full, wanted = (np.unpackbits(np.frombuffer(r[c], np.uint8)).astype(bool) for c in ("full", "asked"))
             sure, at, one, two = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.uint64, np.uint64))
             count = 0
@@ -490,7 +537,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     window_of(length)
     C.arrow_limits(spark, BLOCK >> 20)
     blocks = C.settle(read_blocks(docs, key, text, length), "text-blocks")
-    C.arrow_limits(spark, 64)
+    C.arrow_limits(spark, 16)
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = C.buckets(spark, 32 * total)
 
@@ -504,17 +551,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     bare = blocks.select("block", "n", "steps", "gaps", "whole", "same", F.lit(None).cast("array<binary>").alias("ranks"))
     answers = told(blocks.select("block", "sizes", "text").mapInArrow(symbol_rows(length), _PAIRS))
-    state = by_block(bare, answers, first_ranks, _STATE, "state")
+    state = by_block(bare, answers, first_ranks(length), _STATE, "state")
     while state.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]:
         answers = told(state.where("open > 0").mapInArrow(state_rows(State.double), _PAIRS))
-        new = by_block(state, answers, next_ranks, _STATE, "state")
+        new = by_block(state, answers, next_ranks(length), _STATE, "state")
         C.discard(state)
         state = new
     answers = told(state.mapInArrow(state_rows(State.reach), _PAIRS))
-    reach = by_block(state, answers, reached, _KNOWN, "reached")
+    reach = by_block(state, answers, reached(length), _KNOWN, "reached")
     C.discard(state)
-    answers = C.settle(asked(reach.mapInArrow(need_rows(length), _PAIRS), parts), "asked")
-    known = by_block(reach, answers, with_asked(length), "block long, ranks array<binary>, full binary, asked binary", "known")
+    answers = C.settle(asked(reach.mapInArrow(need_rows(length), _ASKS), parts), "asked")
+    known = by_block(reach, answers, with_asked(length), "block long, n long, ranks array<binary>, full binary, asked binary", "known")
     C.discard(reach)
     found = C.settle(blocks.select("block", "sizes", "text").join(known, "block").mapInArrow(open_positions(length), _OPEN), "open")
     C.discard(known)
