@@ -228,8 +228,8 @@ def test_html_blocks():
     page = """<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div><div id="main" class="post-12"><h1>T &amp; U</h1><p>Para one   is
 here<p>Para <a href=x>two</a> &eacute; done<ul><li>one<li>two</ul><script>var a="<p>no</p>";</script><form>no</form><div class="comments"><p>bad comment text, long</div></div><footer>no</footer></body>"""
     p = host_paths.Page(page)
-    assert p.text(None) == "T & U\nPara one is here\nPara two é done\none\ntwo" and p.best()[1] == ">body>div.post-0"
-    assert host_paths.Page("").text(None) == "" and host_paths.Page("<p>a<b").text(">none") == "a<b"
+    assert p.text(None) == "T & U\nPara one is here\nPara two é done\none\ntwo" and p.path_of(p.best()[0]) == ">body>div.post-0"
+    assert host_paths.Page("").text(None) == "" and host_paths.Page("<p>a<b").text(1) == "a<b"
 
 
 def test_html_raw_elements_after_letters_that_lower_to_two():
@@ -240,6 +240,49 @@ def test_html_raw_elements_after_letters_that_lower_to_two():
     assert host_paths.Page("<p>a</p><script>x</\u017fcript><p>in</p></script><p>b</p><style>c").text(None) == "a\nb"
 
 
+def test_html_names_that_only_mention_a_part_keep_their_text():
+    for name in ("content has-sidebar", "no-comments", "with-menu", "search-results"):
+        assert host_paths.Page(f'<div class="{name}"><p>The whole article, here.</p></div>').text(None) == "The whole article, here.", name
+    for name in ("sidebar", "post-comments", "cookie-notice", "site-header", "ad-slot"):
+        page = f'<div class="post"><p>The whole article, which is long enough.</p></div><div class="{name}"><p>no, no</p></div>'
+        assert host_paths.Page(page).text(None) == "The whole article, which is long enough.", name
+    assert host_paths.Page("<div><p>so <math><mi>x</mi></math> and <object>y</object><noscript>z</noscript></p></div>").text(None) == "so x and yz"
+
+
+def test_html_deep_pages_take_bounded_memory():
+    import tracemalloc
+
+    for tag in ("div", "b"):
+        page = f"<{tag}>x " * 150_000
+        tracemalloc.start()
+        text = host_paths.Page(page).text(None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 << 20 and text.count("x") >= 1, (tag, peak)
+
+
+def brute_text(blocks):
+    """Text of a page made of known blocks: character references decoded, white space turned into one space."""
+    import html
+
+    return "\n".join(" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+
+
+def test_html_against_pages_of_known_text(spark, none):
+    rng, rows, want = random.Random(8), [], {}
+    tags = ["<p>%s</p>", "<h2>%s</h2>", "<ul><li>%s</li></ul>", "<blockquote>%s</blockquote>", "<p class=x9>%s"]
+    junk = ["<nav><a href=/>Home</a></nav>", "<div class='sidebar'>side</div>", "<form>name</form>", "<script>if(a<b){}</script>", "<style>p{}</style>", "<!-- <p>no</p> -->"]
+    for i in range(80):
+        blocks = [f"{' '.join(words(rng.randrange(5, 40), 31 * i + k))}, &amp; <b>bold</b> &#233;  t\n{k}" for k in range(rng.randrange(1, 9))]
+        inner = "".join(rng.choice(tags) % b + rng.choice(["", rng.choice(junk)]) for b in blocks)
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<html><body><header>top</header>{rng.choice(junk)}<div class='entry n{i}'>{inner}</div><footer>end</footer><div id=comments><p>ugly, long comment</p></div></body></html>", "clash", "clash", 1))
+        want[i] = brute_text(blocks)
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, text string, path string, n_chars int")
+    out = host_paths.extract(df).collect()
+    assert len(out) == len(rows) + 1 and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in out)
+    assert host_paths.extract(df.where("false")).count() == 0
+
+
 def test_html_consensus(spark):
     good = "<body><main class='c'><p>%s</p></main><div class='x'><p>short</p></div></body>"
     odd = "<body><main class='c'><p>tiny</p></main><div class='x'><p>%s</p></div></body>"
