@@ -1,7 +1,10 @@
 """The corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, pseudonyms, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes as Parquet in the shared folder and reads
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents; a stage's files go when the next is written.
+
+Nulls in any column pass through; a null or empty text has no letter and goes in the first stage. Repeated rows are told apart
+row by row (see near_duplicates). Extra columns pass through up to packing; empty tables give empty stages.
 """
 
 from __future__ import annotations
@@ -13,18 +16,20 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
 from tabloom.llm import decontaminate, feistel_pii, jaccard_join, ppm_language, vector_packing
-from tabloom.llm.queries import tokenizer_file
+from tabloom.llm.queries import PACKING, secret_key, tokenizer_file
 
 #: A language is accepted from this probability on; text without a letter has none.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language is not the likeliest of all by more than even odds."""
+    """Drops documents without a letter, those whose language is not the likeliest of all by more than even odds, and those that
+    no learned language describes better than noise: more bits a byte than half way from the worst training rate to 8."""
     names = docs.columns
     model = ppm_language.language_model(docs)
     found = ppm_language.identify(docs, model)
-    return found.where((F.col("lang_pred") != ppm_language.UND) & (F.col("score") >= LEAST_SCORE)).select(*names)
+    described = F.col("bits_per_byte") <= (model.limit if model else 0.0)
+    return found.where((F.col("lang_pred") != ppm_language.UND) & (F.col("score") >= LEAST_SCORE) & described).select(*names)
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -58,13 +63,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and secrets; n_chars follows the new text."""
-    new = feistel_pii.pseudonymise(docs)
+    new = feistel_pii.pseudonymise(docs, secret_key(spark))
     return new.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of at most 4096 tokens."""
-    return vector_packing.pack(docs, tokenizer_file(), with_ids=False)
+    return vector_packing.pack(docs, tokenizer_file(), limits=PACKING, prompt=vector_packing.first_line, with_ids=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -82,5 +87,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = C.settle(stage(spark, docs, sf_dir), name)
+        new = C.settle(stage(spark, docs, sf_dir), name)
+        C.discard(docs)
+        docs = new
     return docs

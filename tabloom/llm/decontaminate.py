@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by size: band s holds items of s/2 < n <= s shingles (s a power of two). A document is cut into
+Test items are partitioned by size: band s holds items of s/2 < n <= s shingles (s a power of two, 8 at least); items of at
+most four shingles are looked up by each of their shingles instead, which finds all. A document is cut into
 blocks of the smallest s shingles; MinHash values of blocks combine by minimum into those of windows of two adjacent blocks
 of every band, so a passage of up to s shingles lies whole in one window of its band and the similarity of item and window
 is bounded below by t q / (2s + (1 - t) q) for an item of q shingles and containment t. The search uses one row a band of
@@ -8,8 +9,8 @@ the hash table: an item is a candidate if any of `hashes` values agrees, so a pa
 of its band (similarity 3/19) is missed with probability below (16/19)^hashes, 3e-5 with 60. Each candidate is then held
 against the exact shingle set of the whole document: it is a leak if at least t of the item's distinct shingles occur there.
 
-The items are the stated query set. They are handled in blocks of a fixed number of items, so what is shipped to the
-executors is bounded whatever the size of the benchmark; documents are never moved.
+The items are the stated query set. They are handled in blocks of at most so many items and characters (a longer item alone),
+so what is shipped to the executors is bounded whatever the size of the benchmark; documents are never moved.
 
 Defined results: null or empty documents and items match nothing; an item of fewer than five words is one shingle (its whole
 word sequence) and is found only as a document of just that sequence; repeated items and documents are each reported; other
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
 
-HASHES, BLOCK_ITEMS = 60, 20_000
+HASHES, BLOCK_ITEMS, BLOCK_CHARS, SMALL = 60, 20_000, 16 << 20, 4
 _ODD = np.random.default_rng(31337).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -40,6 +41,7 @@ class Items:
     h: np.ndarray
     off: np.ndarray
     bands: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
+    small: tuple[np.ndarray, np.ndarray]  # sorted shingles of the smallest items, and whose they are
 
 
 def prepare(ids: list, texts: list[str | None], n: int, hashes: int) -> Items:
@@ -48,7 +50,9 @@ def prepare(ids: list, texts: list[str | None], n: int, hashes: int) -> Items:
     size = np.concatenate([np.diff(p[3]) for p in parts]) if parts else np.zeros(0, np.int64)
     off = np.concatenate([[0], np.cumsum(size)])
     bands = []
-    level = np.array([max(3, int(s - 1).bit_length()) if s else -1 for s in size])
+    level = np.array([max(3, int(s - 1).bit_length()) if s > SMALL else -1 for s in size])
+    every, owner = h[np.repeat(size <= SMALL, size)], np.repeat(np.arange(len(size)), size)[np.repeat(size <= SMALL, size)]
+    order = np.argsort(every, kind="stable")
     for k in sorted({*level.tolist()} - {-1}):
         mine = np.flatnonzero(level == k)
         tables = []
@@ -57,18 +61,28 @@ def prepare(ids: list, texts: list[str | None], n: int, hashes: int) -> Items:
             order = np.argsort(low)
             tables.append((low[order], mine[order]))
         bands.append((1 << k, tables))
-    return Items(ids, h, off, bands)
+    return Items(ids, h, off, bands, (every[order], owner[order]))
 
 
 def candidates(items: Items, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(document of the chunk, item) pairs that share a MinHash value of a window; h: shingles of the documents in order."""
-    if not len(h) or not items.bands:
+    """(document of the chunk, item) pairs that share a MinHash value of a window, or a shingle of a small item; h: shingles of the documents in order."""
+    if not len(h):
         return
+    found = set()
+    values, who = items.small
+    if len(values):
+        at = np.flatnonzero(values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h)
+        a, b = np.searchsorted(values, h[at], "left"), np.searchsorted(values, h[at], "right")
+        found.update((int(d), int(i)) for d, p, q in zip(np.searchsorted(off, at, "right") - 1, a, b, strict=True) for i in who[p:q])
+    if items.bands:
+        found.update(by_windows(items, h, off))
+    yield from sorted(found)
+
+
+def by_windows(items: Items, h: np.ndarray, off: np.ndarray) -> set[tuple[int, int]]:
     step = items.bands[0][0]
     count = np.diff(off)
     blocks = -(-count // step)
-    if not blocks.sum():
-        return
     doc = np.repeat(np.arange(len(count)), blocks)
     first_block = np.cumsum(blocks) - blocks
     at = (np.arange(len(doc)) - np.repeat(first_block, blocks)) * step + np.repeat(off[:-1], blocks)
@@ -93,7 +107,7 @@ def candidates(items: Items, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[i
             if len(hit):
                 a, b = np.searchsorted(values, window[hit], "left"), np.searchsorted(values, window[hit], "right")
                 found.update((int(doc[x]), int(i)) for x, p, q in zip(hit, a, b, strict=True) for i in who[p:q])
-    yield from sorted(found)
+    return found
 
 
 def ahead(run: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
@@ -123,13 +137,15 @@ def leaks_of(items: Items, column: pa.Array, n: int, percent: int) -> Iterator[t
 
 def item_blocks(benchmark: DataFrame, key: str, text: str, size: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of bounded size, streamed to the driver one partition at a time."""
-    ids, texts = [], []
-    for r in benchmark.select(key, text).toLocalIterator():
+    ids, texts, held = [], [], 0
+    for r in benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).toLocalIterator():
+        more = len(r[1] or "")
+        if ids and (len(ids) == size or held + more > BLOCK_CHARS):
+            yield ids, texts
+            ids, texts, held = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
-        if len(ids) == size:
-            yield ids, texts
-            ids, texts = [], []
+        held += more
     if ids:
         yield ids, texts
 

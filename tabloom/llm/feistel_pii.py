@@ -4,7 +4,7 @@ Values are found by pattern, validated (calendar, Luhn, mod 97, numbering rules,
 values of their format, permuted there by a keyed Feistel network and written back in the same layout. So a pseudonym is
 again a valid value of its kind, equal values map to equal pseudonyms in every document, and different values to different
 ones. The network is an unbalanced one over Z_a x Z_b with a * b >= N and cycle walking, its round function keyed BLAKE2b;
-key, kind and format are its tweak. A value that its permutation leaves in place is exchanged with the pseudonym's next
+key, kind and format are its tweak. The key is the caller's secret: who has it can undo the pseudonyms. A value that its permutation leaves in place is exchanged with the pseudonym's next
 point, so no value keeps its own text.
 
 Kinds: email, card (13-19 digits, Luhn), iban, phone (+ and 8-15 digits, or ten North American digits), ssn, date (ISO,
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 
 from tabloom.llm import _core as C
 
-KEY = b"tabloom-demonstration-key"  # a deployment passes its own
 ROUNDS = 8
 DIGITS, UPPER, LOWER, HEX, HEX_UPPER, ALNUM_UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: English month names.
@@ -85,12 +84,11 @@ def unrank(x: int, alphabets: list[str]) -> str:
 def swap(s: str, alphabets: list[str], key: bytes, tweak: str, valid: Callable[[str], bool] = lambda s: True) -> str:
     """The string with its characters permuted within their alphabets, walking on to the next valid string."""
     x, n = rank(s, alphabets)
-    for _ in range(10_000):
+    while True:  # ends at the valid string itself at the latest, where its cycle closes
         x = permute(x, n, key, tweak)
         out = unrank(x, alphabets)
         if valid(out):
             return out
-    return out
 
 
 def refill(layout: str, chars: str) -> str:
@@ -113,7 +111,11 @@ def luhn(digits: str) -> bool:
 
 def email(s: str, key: bytes) -> str | None:
     local, domain = s.split("@")
-    return f"{swap(local, kinds_of(local), key, 'email')}@{domain}" if rank(local, kinds_of(local))[1] > 1 else None
+    if rank(local, kinds_of(local))[1] > 1:
+        return f"{swap(local, kinds_of(local), key, 'email')}@{domain}"
+    if len(local) > 1:  # marks only: permuted among themselves
+        return f"_{swap(local[1:], ['._%+-'] * (len(local) - 1), key, 'marks')}@{domain}"
+    return f"{local}@{swap(domain, kinds_of(domain), key, 'domain')}"
 
 
 def card(s: str, key: bytes) -> str | None:
@@ -188,27 +190,39 @@ def other_day(day: datetime.date, key: bytes, tweak: str, valid: Callable[[datet
 
 
 def date(s: str, key: bytes) -> str | None:
-    every = lambda d: True
+    digits = lambda n: str(len(str(n)))
+
+    def kept(m: str, d: str) -> tuple[str, Callable[[datetime.date], bool]]:
+        """(tweak, which dates fit) of a month and a day in digits: with two each any date fits, else those that keep their widths."""
+        if len(m) == len(d) == 2:
+            return "", lambda x: True
+        small = int(m) < 10, int(d) < 10
+        return f"{small}{len(m)}{len(d)}", lambda x: (x.month < 10, x.day < 10) == small
+
+    def spelt(name: str, d: str) -> tuple[str, Callable[[datetime.date], bool]]:
+        """The same for a month by name: May counts as a short name."""
+        long = len(name) > 3
+        return f"{'long' if long else 'short'}{len(d)}", lambda x: digits(x.day) == str(len(d)) and not (long and x.month == 5)
+
     try:
         if m := re.fullmatch(r"([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})", s):
             day, sep = datetime.date(int(m[1]), int(m[3]), int(m[4])), m[2]
-            new = other_day(day, key, "", every)
-            wide = len(m[3]) == len(m[4]) == 2
-            return f"{new.year}{sep}{new.month:02d}{sep}{new.day:02d}" if wide else f"{new.year}{sep}{new.month}{sep}{new.day}"
+            new = other_day(day, key, *kept(m[3], m[4]))
+            return f"{new.year}{sep}{new.month:0{len(m[3])}d}{sep}{new.day:0{len(m[4])}d}"
         if m := re.fullmatch(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})", s):
             first, sep, second, year = int(m[1]), m[2], int(m[3]), int(m[4])
-            wide = "02d" if len(m[1]) == len(m[3]) == 2 else "d"
             if sep != "." and first <= 12:  # month first; otherwise day first, where a slashed day must stay above 12
-                new = other_day(datetime.date(year, first, second), key, "", every)
-                return f"{new.month:{wide}}{sep}{new.day:{wide}}{sep}{new.year}"
-            new = other_day(datetime.date(year, second, first), key, "" if sep == "." else "above12", every if sep == "." else lambda d: d.day > 12)
-            return f"{new.day:{wide}}{sep}{new.month:{wide}}{sep}{new.year}"
+                new = other_day(datetime.date(year, first, second), key, *kept(m[1], m[3]))
+                return f"{new.month:0{len(m[1])}d}{sep}{new.day:0{len(m[3])}d}{sep}{new.year}"
+            tweak, fits = kept(m[3], m[1])
+            new = other_day(datetime.date(year, second, first), key, tweak if sep == "." else f"above12{tweak}", fits if sep == "." else lambda d: d.day > 12 and fits(d))
+            return f"{new.day:0{len(m[1])}d}{sep}{new.month:0{len(m[3])}d}{sep}{new.year}"
         if m := re.fullmatch(r"([A-Z][a-z]+)( +)([0-9]{1,2})(,? +)([0-9]{4})", s):
-            new = other_day(datetime.date(int(m[5]), month(m[1]), int(m[3])), key, "", every)
-            return f"{named(m[1], new)}{m[2]}{new.day}{m[4]}{new.year}"
+            new = other_day(datetime.date(int(m[5]), month(m[1]), int(m[3])), key, *spelt(m[1], str(int(m[3]))))
+            return f"{named(m[1], new)}{m[2]}{new.day:0{len(m[3])}d}{m[4]}{new.year}"
         if m := re.fullmatch(r"([0-9]{1,2})( +)([A-Z][a-z]+)(,? +)([0-9]{4})", s):
-            new = other_day(datetime.date(int(m[5]), month(m[3]), int(m[1])), key, "", every)
-            return f"{new.day}{m[2]}{named(m[3], new)}{m[4]}{new.year}"
+            new = other_day(datetime.date(int(m[5]), month(m[3]), int(m[1])), key, *spelt(m[3], str(int(m[1]))))
+            return f"{new.day:0{len(m[1])}d}{m[2]}{named(m[3], new)}{m[4]}{new.year}"
     except ValueError:
         return None
     return None
@@ -272,8 +286,10 @@ def cached(kind: str, value: str, key: bytes) -> str | None:
     return next(make for k, _, make in RULES if k == kind)(value, key)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with the values in `text` replaced, and `pii`: start, length and kind of each in the original text."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     C.arrow_limits(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())]))
     schema = docs.drop("pii").withColumn("pii", _EMPTY_SPANS()).schema

@@ -15,7 +15,7 @@ a segment: a partner lacks at most a quarter of their elements, so with more col
 nearly all hot is joined with the smallest set of each hot element; those that still meet other components in their rarest
 elements are compared block by block. No group of near copies yields all its pairs.
 
-Sets are compared by 64-bit hashes of words and shingles. Defined results: null or empty texts have an empty set, are
+Sets are compared by 64-bit hashes of words and shingles, segments by 64-bit signatures, none of them a polynomial. Defined results: null or empty texts have an empty set, are
 linked with nothing and are their own component; rows without an id keep none of their own; repeated rows fall into one class; ties go to the smallest id; other
 columns are ignored.
 """
@@ -167,7 +167,7 @@ def index(docs: DataFrame, text: str, n: int, percent: int, parts: int, single:
                     o = order[cut[k] : cut[k + 1]]
                     if len(o):
                         w, counts = np.unique(who[o], return_counts=True)
-                        for x, y in zip(rows, (k, names[w].tobytes(), counts.astype(np.uint16).tobytes() if counts.max() < 65536 else counts.astype(np.uint64).tobytes(), sig[o].astype(np.uint32).tobytes(), meta[o].tobytes()), strict=True):
+                        for x, y in zip(rows, (k, names[w].tobytes(), counts.astype(np.uint16).tobytes() if counts.max() < 65536 else counts.astype(np.uint64).tobytes(), sig[o].tobytes(), meta[o].tobytes()), strict=True):
                             x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[C.binary_array(x) for x in rows[1:]]], names=["bucket", "ids", "counts", "sig", "meta"])
 
@@ -189,7 +189,7 @@ def match(hot: int):
             raw = group.column("counts")[r].as_py()
             counts = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(names) else np.uint64).astype(np.int64)
             ids.append(np.repeat(names, counts))
-            sig.append(np.frombuffer(group.column("sig")[r].as_py(), np.uint32))
+            sig.append(np.frombuffer(group.column("sig")[r].as_py(), np.uint64))
             meta.append(np.frombuffer(group.column("meta")[r].as_py(), np.uint8))
         ids, sig, meta = (np.concatenate(x) for x in (ids, sig, meta))
         order = np.argsort(sig)
@@ -240,8 +240,7 @@ def match(hot: int):
             order = np.argsort(both, kind="stable")
             runs = np.flatnonzero(np.concatenate([[True], (ids[at][order][1:] != ids[at][order][:-1]) | (role[at][order][1:] != role[at][order][:-1])]))
             out.append((HOT_OF, ids[at][order][runs].view(np.int64), role[at][order][runs].astype(np.int64), np.diff(np.append(runs, len(order))), np.zeros(len(runs), np.int64)))
-            gid = (np.uint64(int(key[0].as_py() if hasattr(key[0], "as_py") else key[0])) << np.uint64(32)) | sig[at].astype(np.uint64)
-            out.append((MEMBER, gid.view(np.int64), ids[at].view(np.int64), role[at].astype(np.int64), np.zeros(len(at), np.int64)))
+            out.append((MEMBER, sig[at].view(np.int64), ids[at].view(np.int64), role[at].astype(np.int64), np.zeros(len(at), np.int64)))
         columns = [np.concatenate([np.full(len(x[1]), x[0], np.int32) for x in out]) if out else np.zeros(0, np.int32)]
         columns += [np.concatenate([x[k] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64) for k in range(1, 5)]
         return pa.Table.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b", "alike", "mass"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from hashlib import blake2b
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,15 +65,28 @@ GROUP BY d.id, i.id HAVING 100 * count(*) >= 75 * any_value(n.n)
 """
 
 
+_SECRET = secrets.token_bytes(32)
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: that of the session's spark.tabloom.pseudonyms.key, else one drawn for this run and kept nowhere."""
+    given = spark.conf.get("spark.tabloom.pseudonyms.key", None)
+    return blake2b(given.encode()).digest() if given else _SECRET
+
+
 @query
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feistel_pii.pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = feistel_pii.pseudonymise(C.table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark))
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",").alias("kinds"))
 
 
+#: At most 4096 tokens, 16 pieces and 3968 loss-bearing tokens a sequence; the first of several lines is a prompt, which bears none.
+PACKING = vector_packing.Limits(4096, 16, 3968)
+
+
 @query
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_packing.pack(C.table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+    return vector_packing.pack(C.table(spark, sf_dir, "documents"), tokenizer_file(), limits=PACKING, prompt=vector_packing.first_line, with_ids=False)
 
 
 @query

@@ -6,8 +6,9 @@ those that a rule allows or blocks. A URL's score is the mean over its character
 threshold is calibrated on a held-out fold of the rule-labelled URLs: of a fixed grid, the value with the smallest sum of
 both error rates. From it on a URL is allowed, below it blocked.
 
-The models are one table of 40^3 log ratios, whatever the number of URLs (alphabet: a-z, 0-9, `/`, `.`, `-` and one symbol
-for all else, which also pads both ends), so it can be broadcast; a URL's characters are added up where they were read.
+The models are one array of 46^3 log ratios, whatever the number of URLs (alphabet: a-z, 0-9, the marks of ALPHABET and one
+symbol for all else, which also pads both ends). A URL's characters are added up inside its row, so nothing is exploded or
+moved and a long URL costs in proportion to its length.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule; its text (null: empty) is
 still judged by the method. Without labelled URLs of both kinds the threshold is 0 and all scores follow from smoothing alone.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-~"
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-?=&_%:~"
 A = len(ALPHABET)
 #: Grid of thresholds: steps of 1/STEP from -BINS/STEP to BINS/STEP.
 STEP, BINS = 50, 200
@@ -57,8 +58,8 @@ def fitting(rules: Sequence[Rule], h: Column, p: Column) -> tuple[Column, Column
 
 
 def trigrams(url: Column) -> Column:
-    """Codes 0..40^3-1 of each character and the end with the two before."""
-    plain = F.regexp_replace(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), r"[^a-z0-9/.-]", "~")
+    """Codes 0..A^3-1 of each character and the end with the two before."""
+    plain = F.regexp_replace(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), r"[^a-z0-9/.?=&_%:-]", "~")
     symbol = F.transform(F.split(F.concat(F.lit("~~"), plain, F.lit("~")), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     shifted = lambda k: F.slice(symbol, k + 1, F.greatest(F.size(symbol) - 2, F.lit(0)))
     both = F.zip_with(shifted(0), shifted(1), lambda a, b: a * A + b)
@@ -66,7 +67,7 @@ def trigrams(url: Column) -> Column:
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
-    """(code, v: ln P(accepted) - ln P(rejected)) of all 40^3 trigram codes, from (accepted boolean, code int) rows."""
+    """(code, v: ln P(accepted) - ln P(rejected)) of all A^3 trigram codes, from (accepted boolean, code int) rows."""
     counts = labelled.groupBy("code").agg(F.sum(F.col("accepted").cast("long")).alias("n1"), F.sum((~F.col("accepted")).cast("long")).alias("n0"))
     grid = labelled.sparkSession.range(A**3).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left").na.fill(0, ["n1", "n0"])
     c = F.col("code")
@@ -88,11 +89,10 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
 
 
 def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """urls with `score`, the mean log ratio of `codes`. The model has one row for each of the 40^3 codes, so it is broadcast;
-    a URL's characters meet again in the task that read them, before any exchange."""
-    kept = [c for c in urls.columns if c != "codes"]
-    each = urls.withColumn("__row", F.monotonically_increasing_id()).select("__row", *kept, F.explode("codes").alias("code"))
-    return each.join(F.broadcast(model), "code").groupBy("__row", *kept).agg(F.avg("v").alias("score")).drop("__row")
+    """urls with `score`, the mean log ratio of `codes`: each looked up in one array of the model's A^3 values."""
+    values = model.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "v"))), lambda r: r["v"]).alias("values")).scalar()
+    total = F.aggregate("codes", F.lit(0.0), lambda s, c: s + F.get("__values", c))
+    return urls.withColumn("__values", values).withColumn("score", total / F.size("codes")).drop("codes", "__values")
 
 
 def threshold(scored: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Every sequence holds at most `tokens` tokens, `segments` pieces and `loss` loss-bearing tokens. Bins are filled one at a
 time: of the pieces that fit, the one with the largest dot product of its demand with the bin's free room (each dimension
-weighted by how scarce it is) goes in; when none fits, the best one is cut to fill the bin. A bin that a limit other than
+weighted by how scarce it is) goes in; when none fits, the one that fills most is cut to fill the bin. A bin that a limit other than
 `tokens` closes early is cut back to a power of two, and the last bins of a partition are powers of two, so nothing is
 padded. Examples are packed where they are read: no shuffle, no driver, memory for one pool of examples a task.
 
+Which tokens bear loss is told by a mask of 0/1 per id, or by a prompt: so many words at the beginning of a text bear none.
+
 Ids come from a public tokenizer file, word by word (white space never enters a token of this vocabulary), with a bounded
 cache of words.
 
 Defined results: null or empty texts are the end id alone; a very long text becomes many pieces, each id in exactly one;
-repeated rows are packed each; ties go to the example read first; other columns are ignored; an empty table gives no rows.
+repeated rows are packed each; rows without a key keep none; ties go to the example read first; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ class Words:
         self.end = np.array([END], self.kind).tobytes()
         self.cache: dict[bytes, bytes] = {}
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def ids(self, texts: list[bytes], prompt: Callable[[bytes], int] | None = None) -> list[tuple[np.ndarray, int]]:
+        """(ids, how many at the beginning bear no loss) of each text."""
         split = [t.split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -63,7 +66,17 @@ class Words:
             part = new[lo : lo + 10_000]
             got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             cache.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
-        return [np.frombuffer(b"".join([*map(cache.__getitem__, ws), self.end]), self.kind).astype(np.uint32) for ws in split]
+        out = []
+        for t, ws in zip(texts, split, strict=True):
+            lead = sum(map(len, map(cache.__getitem__, ws[: prompt(t)]))) // self.kind.itemsize if prompt else 0
+            out.append((np.frombuffer(b"".join([*map(cache.__getitem__, ws), self.end]), self.kind).astype(np.uint32), lead))
+        return out
+
+
+def first_line(text: bytes) -> int:
+    """Words of a prompt: those of the first line with words, if others follow; a text of one line has none."""
+    head, _, rest = text.lstrip().partition(b"\n")
+    return len(head.split()) if rest.strip() else 0
 
 
 @lru_cache(maxsize=2)
@@ -78,6 +91,7 @@ class Item:
     ids: np.ndarray
     start: int = 0
     mask: np.ndarray | None = None  # running count of loss-bearing tokens, one longer than ids
+    prompt: int = 0  # without a mask: so many ids at the beginning bear no loss
 
     @property
     def length(self) -> int:
@@ -85,13 +99,26 @@ class Item:
 
     @property
     def loss(self) -> int:
-        return self.length if self.mask is None else int(self.mask[-1] - self.mask[self.start])
+        return self.bears(self.length)
+
+    def bears(self, n: int) -> int:
+        """Loss-bearing tokens among the next n."""
+        if self.mask is None:
+            return n - min(n, max(0, self.prompt - self.start))
+        return int(self.mask[self.start + n] - self.mask[self.start])
+
+    @property
+    def lead(self) -> int:
+        """How many of the next tokens bear no loss."""
+        if self.mask is None:
+            return min(self.length, max(0, self.prompt - self.start))
+        return min(self.length, int(np.searchsorted(self.mask, self.mask[self.start], "right")) - 1 - self.start)
 
     def most(self, tokens: int, loss: int) -> int:
         """Longest prefix of what is left within both limits."""
         n = min(tokens, self.length)
         if self.mask is None:
-            return min(n, loss)
+            return min(n, loss + max(0, self.prompt - self.start))
         return min(n, int(np.searchsorted(self.mask, self.mask[self.start] + loss, "right")) - 1 - self.start)
 
 
@@ -125,69 +152,61 @@ class Packer:
 
     def pack(self, keep: int) -> None:
         """Fill bins until at most `keep` items and few tokens are left."""
-        lim = self.limits
-        items = self.pool
-        cap = np.array([lim.tokens, lim.segments, lim.loss], float)
-        demand = np.array([[i.length, 1, i.loss] for i in items], float).reshape(-1, 3) / cap
-        alive = np.ones(len(items), bool)
-        left, held = len(items), self.held
-        while left and (keep == 0 or left > keep) and held:
-            weight = demand[alive].sum(0)
-            room, pieces = np.ones(3), []
-            free = [lim.tokens, lim.segments, lim.loss]
+        lim, items = self.limits, self.pool
+        tokens, loss, lead = (np.array([f(i) for i in items], np.int64) for f in (lambda i: i.length, lambda i: i.loss, lambda i: i.lead))
+        alive, place = tokens > 0, {id(i): k for k, i in enumerate(items)}
+        left = len(items)
+
+        def take(k: int, n: int) -> None:
+            nonlocal left
+            item = items[k]
+            item.start += n
+            self.held -= n
+            tokens[k], loss[k], lead[k] = item.length, item.loss, item.lead
+            if alive[k] != (item.length > 0):
+                alive[k] = item.length > 0
+                left += 1 if alive[k] else -1
+
+        while left and (keep == 0 or left > keep) and self.held:
+            # scarcity: what the pool demands of each limit that it has
+            scarce = np.array([tokens[alive].sum() / lim.tokens**2, loss[alive].sum() / lim.loss**2])
+            pieces, free = [], [lim.tokens, lim.segments, lim.loss]
             while left and free[0] > 0 and free[1] > 0:
-                score = demand @ (weight * room)
-                fits = alive & (demand <= room + 1e-12).all(1)
-                fill = not fits.any()
-                k = int(np.argmax(np.where(alive if fill else fits, score, -1.0)))
+                # the dot product of demand and free room; every piece demands one segment, so that term decides nothing
+                score = tokens * (scarce[0] * free[0] / lim.tokens) + loss * (scarce[1] * free[2] / lim.loss)
+                fits = alive & (tokens <= free[0]) & (loss <= free[2])
+                k = int(np.argmax(np.where(fits, score, -1.0)))
+                if not fits[k]:  # none fits: cut the one that fills most
+                    k = int(np.argmax(np.where(alive, np.minimum(np.minimum(tokens, free[0]), free[2] + lead), 0)))
                 item = items[k]
                 n = item.most(free[0], free[2])
                 if n <= 0:
                     break
-                loss = n if item.mask is None else int(item.mask[item.start + n] - item.mask[item.start])
                 pieces.append((item, item.start, n))
-                item.start += n
-                held -= n
-                free = [free[0] - n, free[1] - 1, free[2] - loss]
-                room = np.array(free, float) / cap
-                if item.length:
-                    demand[k] = np.array([item.length, 1, item.loss], float) / cap
-                else:
-                    alive[k] = False
-                    left -= 1
+                free = [free[0] - n, free[1] - 1, free[2] - item.bears(n)]
+                take(k, n)
             if not pieces:  # one token bears more loss than a sequence may hold: it stands alone
                 k = int(np.flatnonzero(alive)[0])
-                item = items[k]
-                pieces = [(item, item.start, 1)]
-                item.start += 1
-                held -= 1
-                if not item.length:
-                    alive[k] = False
-                    left -= 1
+                pieces = [(items[k], items[k].start, 1)]
+                take(k, 1)
             used = sum(n for _, _, n in pieces)
             excess = used - (1 << (used.bit_length() - 1)) if used < lim.tokens else 0
             while excess:  # back to a power of two: what is cut off returns to the pool
-                item, a, n = pieces.pop()
+                item, at, n = pieces.pop()
                 back = min(excess, n)
                 excess -= back
-                held += back
-                k = next(i for i, x in enumerate(items) if x is item)
-                item.start = a + n - back
-                if not alive[k]:
-                    alive[k] = True
-                    left += 1
-                demand[k] = np.array([item.length, 1, item.loss], float) / cap
+                item.start = at + n
+                take(place[id(item)], -back)
                 if n > back:
-                    pieces.append((item, a, n - back))
+                    pieces.append((item, at, n - back))
             self.put(pieces)
         self.pool = [i for i, ok in zip(items, alive, strict=True) if ok]
-        self.held = held
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limits: Limits = Limits(), loss: Callable[[np.ndarray], np.ndarray] | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limits: Limits = Limits(), loss: Callable[[np.ndarray], np.ndarray] | None = None, prompt: Callable[[bytes], int] | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and (with_ids) its ids.
 
-    loss: gives 0/1 per id of an example; without it all ids bear loss. A sequence's id holds the partition above 2^33, so
+    loss: gives 0/1 per id of an example; prompt: how many words of its text bear none; without both all ids bear loss. A sequence's id holds the partition above 2^33, so
     ids are unique without any exchange and the same when a lost task runs again."""
     C.arrow_limits(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -214,9 +233,9 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             labels = b.column(0).to_pylist()
             for lo, hi, buf, off in C.text_chunks(b.column(1), 1 << 20):
                 raw = buf.tobytes()
-                for k, ids in zip(range(lo, hi), words.ids([raw[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]), strict=True):
+                for k, (ids, lead) in zip(range(lo, hi), words.ids([raw[x:y] for x, y in zip(off[:-1], off[1:], strict=True)], prompt), strict=True):
                     mask = None if loss is None else np.concatenate([[0], np.cumsum(loss(ids))])
-                    packer.add(Item(labels[k], ids, 0, mask))
+                    packer.add(Item(labels[k], ids, 0, mask, lead))
                 yield from flush(kind)
         packer.pack(0)
         if kind is not None:

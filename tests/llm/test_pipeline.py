@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from tabloom.llm import feistel_pii, ppm_language
-from tabloom.llm.queries import tokenizer_file
+from tabloom.llm.queries import secret_key, tokenizer_file
 from tests.llm.test_corpus_operators import brute_components, shingles
 
 
@@ -16,13 +16,14 @@ def test_pipeline_is_its_stages_by_brute_force(spark, data):
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names, texts = docs.columns, {r.doc_id: r.text for r in docs.collect()}
-    accepted = ppm_language.identify(docs, ppm_language.language_model(docs)).where("lang_pred <> 'und' and score >= 0.5")
+    model = ppm_language.language_model(docs)
+    accepted = ppm_language.identify(docs, model).where(f"lang_pred <> 'und' and score >= 0.5 and bits_per_byte <= {model.limit}")
     want = {r.doc_id: texts[r.doc_id] for r in accepted.select("doc_id").collect()}
     assert all(any(c.isalpha() for c in t) for t in want.values()) and len(want) > 0.95 * len(texts)
     want = {i: want[i] for i, (_, c) in brute_components(want.items()).items() if c == i}
     items = [q for q in (shingles(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()) if q]
     want = {i: t for i, t in want.items() if not any(100 * len(q & shingles(t)) >= 75 * len(q) for q in items)}
-    want = {i: feistel_pii.scan(t, feistel_pii.KEY)[0] for i, t in want.items()}
+    want = {i: feistel_pii.scan(t, secret_key(spark))[0] for i, t in want.items()}
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, data)
@@ -51,6 +52,20 @@ def test_pipeline_of_nothing(spark, data):
     assert step.count() == 0
 
 
+def test_noise_goes_and_texts_stay(spark, data):
+    import base64
+    import random
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = random.Random(3)
+    noise = [(10**6 + i, base64.b64encode(rng.randbytes(600)).decode(), "en", "s", 800) for i in range(20)]
+    kept = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), data)
+    ids = {r.doc_id for r in kept.collect()}
+    assert not any(i >= 10**6 for i in ids) and len(ids) > 0.95 * docs.count()
+
+
 def test_rows_without_an_id_and_repeated_rows(spark, data):
     import corpus_pipeline
 
