@@ -20,15 +20,17 @@ from tabloom.llm.queries import PACKING, secret_key, tokenizer_file
 
 #: A language is accepted from this probability on; text without a letter has none.
 LEAST_SCORE = 0.5
+#: Bits a byte of a text without any model.
+MOST_BITS = 8.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, those whose language is not the likeliest of all by more than even odds, and those that
-    no learned language describes better than noise: more bits a byte than half way from the worst training rate to 8."""
+    no learned language describes better than bytes as they are."""
     names = docs.columns
     model = ppm_language.language_model(docs)
     found = ppm_language.identify(docs, model)
-    described = F.col("bits_per_byte") <= (model.limit if model else 0.0)
+    described = F.col("bits_per_byte") <= MOST_BITS
     return found.where((F.col("lang_pred") != ppm_language.UND) & (F.col("score") >= LEAST_SCORE) & described).select(*names)
 
 

@@ -52,7 +52,7 @@ def prepare(ids: list, texts: list[str | None], n: int, hashes: int) -> Items:
     bands = []
     level = np.array([max(3, int(s - 1).bit_length()) if s > SMALL else -1 for s in size])
     every, owner = h[np.repeat(size <= SMALL, size)], np.repeat(np.arange(len(size)), size)[np.repeat(size <= SMALL, size)]
-    order = np.argsort(every, kind="stable")
+    by_value = np.argsort(every, kind="stable")
     for k in sorted({*level.tolist()} - {-1}):
         mine = np.flatnonzero(level == k)
         tables = []
@@ -61,7 +61,7 @@ def prepare(ids: list, texts: list[str | None], n: int, hashes: int) -> Items:
             order = np.argsort(low)
             tables.append((low[order], mine[order]))
         bands.append((1 << k, tables))
-    return Items(ids, h, off, bands, (every[order], owner[order]))
+    return Items(ids, h, off, bands, (every[by_value], owner[by_value]))
 
 
 def candidates(items: Items, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:

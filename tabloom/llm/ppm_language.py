@@ -46,14 +46,6 @@ class PPM:
         return int(self.symbol.max()) + 1
 
 
-@dataclass
-class Model:
-    """The tables in the order of their languages, and the bits per byte beyond which a text is in none of them."""
-
-    tables: list[PPM]
-    limit: float
-
-
 def fold(column: Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
@@ -73,7 +65,7 @@ def sample(docs: DataFrame, text: str, label: str, key: str, n: int = SAMPLE_TEX
     return {k: sorted(v) for k, v in sorted(out.items()) if v}
 
 
-def train(texts: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> Model | None:
+def train(texts: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> list[PPM] | None:
     """The trees of all languages, in as many tables as it takes."""
     if not texts:
         return None
@@ -87,13 +79,7 @@ def train(texts: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> Mode
         group.append(lang)
         rows += more
     tables.append(table_of(symbol, {k: grams[k] for k in group}))
-    rates = []
-    for m in tables:
-        for k, lang in enumerate(m.languages):
-            every = b"".join(texts[lang])
-            if every:
-                rates.append(code_lengths(m, np.frombuffer(every, np.uint8), np.array([0, len(every)]))[0, k] / len(every))
-    return Model(tables, (max(rates, default=8.0) + 8) / 2)
+    return tables
 
 
 def kept_contexts(gram: list, order: int, a: int) -> np.ndarray:
@@ -181,7 +167,7 @@ def code_lengths(m: PPM, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: list[PPM] | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1: its probability with all languages equally likely beforehand) and bits_per_byte of
     the best language; one narrow pass over whole texts for each table."""
     C.arrow_limits(docs.sparkSession)
@@ -204,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         return tuple(np.concatenate(x) if x else np.zeros(0) for x in (names, bits, rest))
 
     out = docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    for k, one in enumerate(model.tables):
+    for k, one in enumerate(model):
         shared = docs.sparkSession.sparkContext.broadcast(one)
 
         def make(b: pa.RecordBatch, shared=shared, first: bool = k == 0) -> list[pa.Array]:
@@ -232,6 +218,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     )
 
 
-def language_model(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", folds: int = 4, held_out: int = 2) -> Model | None:
+def language_model(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", folds: int = 4, held_out: int = 2) -> list[PPM] | None:
     """Trees learned from a bounded sample of the labelled rows outside the held-out fold."""
     return train(sample(docs.where(fold(F.col(key), folds) != held_out), text, label, key))

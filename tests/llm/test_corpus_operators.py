@@ -162,58 +162,70 @@ def test_no_email_stays_in_clear():
         assert s not in t and re.fullmatch(r"to [A-Za-z0-9_][A-Za-z0-9._%+-]*@[a-z.]+ now", t), (s, t)
 
 
-def brute_katz(rows, held):
+def brute_katz(rows, held, order):
     tok = {i: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())] + [None] for i, t in rows}
-    uni, bi, begin = Counter(), Counter(), 0
+    marks = ["^"] * (order - 1)
+    counts, begin = [Counter() for _ in range(order + 1)], 0
     for i, t in tok.items():
         if not held(i):
-            uni.update(t)
-            bi.update(zip(["^", *t[:-1]], t, strict=True))
             begin += 1
-    counts = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)])
-    total = sum(uni.values())
-    model = katz.Model(np.array([total, len(uni), *counts(uni)]), np.array([0, 0, *counts(bi)]))
+            for k in range(1, order + 1):
+                s = marks[: k - 1] + t
+                counts[k].update(tuple(s[j : j + k]) for j in range(len(t)))
+    total = sum(counts[1].values())
+    tally = lambda c: np.array([sum(c.values()), len(c), *[sum(v == r for v in c.values()) for r in range(1, katz.TOP + 2)]])
+    model = katz.Model(tally(counts[1]), [tally(c) for c in counts[2:]], begin)
     follow = defaultdict(list)
-    for (a, b), c in bi.items():
-        follow[a].append((b, c))
-
-    def alpha(a):
-        n = begin if a == "^" else uni[a]
-        if not n:
-            return 1.0, 1.0
-        mass = sum(model.d2[min(c, 6)] * c for _, c in follow[a])
-        low = sum(float(model.word(np.array([uni[b]]))[0]) for b, _ in follow[a])
-        spare, n = (0.5, n + 0.5) if n - mass <= 1e-9 * n else (n - mass, n)
-        return spare / n / max(1 - low, 1e-12), n
+    for c in counts[2:]:
+        for gram in c:
+            follow[gram[:-1]].append(gram[-1])
+    base = lambda c: begin if set(c) == {"^"} else counts[len(c)][c]
+    alphas = {}
+
+    def alpha(c):
+        if c not in alphas:
+            k = len(c) + 1
+            mass = sum(float(model.kept(k, np.array([counts[k][*c, w]]))[0]) for w in follow[c])
+            alphas[c] = (1 - mass / base(c)) / (1 - sum(p(c[1:], w) for w in follow[c]))
+        return alphas[c]
+
+    def p(c, w):
+        k = len(c) + 1
+        if not c:
+            return float(model.word(np.array([counts[1][w,]]))[0])
+        if counts[k][*c, w]:
+            return float(model.kept(k, np.array([counts[k][*c, w]]))[0]) / base(c)
+        return (alpha(c) if base(c) else 1.0) * p(c[1:], w)
 
     out = {}
     for i, t in tok.items():
-        s = b = 0.0
-        for a, w in zip(["^", *t[:-1]], t, strict=True):
-            al, n = alpha(a)
-            c = bi[a, w]
-            s += math.log10(model.d2[min(c, 6)] * c / n if c else al * float(model.word(np.array([uni[w]]))[0]))
-            b += math.log10((uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1)))
-        out[i] = (held(i), len(t), sum(uni[w] > 0 for w in t), total, round(b, 6), round(s, 6))
-    return out, model, uni, follow, alpha
+        s = marks + t
+        score = sum(math.log10(p(tuple(s[j : j + order - 1]), w)) for j, w in enumerate(t))
+        plain = sum(math.log10((counts[1][w,] + 0.1) / (total + 0.1 * (len(counts[1]) + 1))) for w in t)
+        out[i] = (held(i), len(t), sum(counts[1][w,] > 0 for w in t), total, plain, score)
+    return out, model, counts[1], follow, p
 
 
-def test_katz_scores_and_normalisation(docs, none):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_scores_and_normalisation(docs, none, order):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    flagged = docs.withColumn("held_out", ppm_language.fold(F.col("doc_id"), 10) == 0)
-    got = {r[0]: (r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in katz.score(flagged, "held_out").collect()}
-    want, model, uni, follow, alpha = brute_katz([(r[0], r[1]) for r in corpus()], held)
+    # held-out texts of known words in new order, so that every way of backing off is met
+    rng, known = random.Random(1), words(120, 1) + words(40, 2)
+    rows = [(r[0], r[1]) for r in corpus()] + [(3000 + i, " ".join(rng.choice(known) for _ in range(30))) for i in range(40)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    flagged = df.withColumn("held_out", ppm_language.fold(F.col("doc_id"), 10) == 0)
+    got = {r[0]: tuple(r)[1:] for r in katz.score(flagged, "held_out", order=order).collect()}
+    want, model, uni, follow, p = brute_katz(rows, held, order)
     assert got.keys() == want.keys()
     for i in want:
         assert got[i][:4] == want[i][:4] and got[i][4:] == pytest.approx(want[i][4:], rel=1e-6, abs=1e-5), i
-    words_all = sum(float(model.word(np.array([c]))[0]) for c in uni.values()) + model.unknown
-    assert words_all == pytest.approx(1, abs=1e-9)
-    for a in ["^", *list(follow)[:20]]:
-        al, n = alpha(a)
-        seen = {b for b, _ in follow[a]}
-        whole = sum(model.d2[min(c, 6)] * c / n for _, c in follow[a]) + al * (1 - sum(float(model.word(np.array([uni[b]]))[0]) for b in seen))
-        assert whole == pytest.approx(1, abs=1e-6)
-    assert katz.score(none.withColumn("held_out", F.lit(False)), "held_out").count() == 0
+    for c in [(), *list(follow)[:10], *list(follow)[-10:]]:
+        whole = sum(p(c, w[0]) for w in uni)
+        # the unknown word: no context has seen it
+        x = p(c, b"unseen")
+        assert whole + x == pytest.approx(1, abs=1e-6), c
+    if order == 1:
+        assert katz.score(none.withColumn("held_out", F.lit(False)), "held_out").count() == 0
 
 
 def test_packing_holds_every_id_once(docs, none):
@@ -422,9 +434,9 @@ def test_language_held_out_accuracy(spark, data):
 def test_code_lengths_are_those_of_the_tree():
     texts = {"a": [b"abracadabra abra"], "b": [b"banana band bana"]}
     model = ppm_language.train(texts)
-    (m,) = model.tables
+    (m,) = model
     # with little room every language has a table of its own, and the code lengths stay the same
-    apart = ppm_language.train(texts, 1).tables
+    apart = ppm_language.train(texts, 1)
     probe = np.frombuffer(b"abad", np.uint8), np.array([0, 4])
     assert len(apart) == 2 and np.allclose(np.concatenate([ppm_language.code_lengths(t, *probe) for t in apart], 1), ppm_language.code_lengths(m, *probe), rtol=1e-6)
     got = ppm_language.code_lengths(m, np.frombuffer(b"abad", np.uint8), np.array([0, 4]))[0]
@@ -461,7 +473,7 @@ def test_every_language_is_learned_and_tables_do_not_matter(spark, monkeypatch):
     one = {r[0]: (r[1], round(r[2], 6)) for r in ppm_language.identify(df, ppm_language.language_model(df)).select("doc_id", "lang_pred", "score").collect()}
     texts = ppm_language.sample(df.where(ppm_language.fold(F.col("doc_id"), 4) != 2), "text", "lang", "doc_id")
     small = ppm_language.train(texts, 4 << 20)
-    assert len(texts) == 130 and 1 < len(small.tables) < 130
+    assert len(texts) == 130 and 1 < len(small) < 130
     some = df.limit(60)
     two = {r[0]: (r[1], round(r[2], 6)) for r in ppm_language.identify(some, small).select("doc_id", "lang_pred", "score").collect()}
     assert all(one[k] == v for k, v in two.items()) and sum(v[0] == f"l{k // 1000}" for k, v in one.items()) > 0.95 * len(rows)
