@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import ceil
@@ -46,6 +47,19 @@ def validate(lines: DataFrame, text: str = "text", check: Callable[[str], bool |
     return out.withColumn("values", X.split_record(F.col(text), delimiter))
 
 
+def validate_records(df: DataFrame, check: Callable[[dict], bool | None] | str | None) -> DataFrame:
+    """Whole records with valid and explain. check: a SQL predicate over the columns (what fails is explained by it), a Python
+    function of the record as a dict, or None (everything is valid as null)."""
+    if check is None:
+        return df.withColumns({"valid": F.lit(None).cast("boolean"), "explain": F.lit(None).cast("string")})
+    if isinstance(check, str):
+        good = F.coalesce(F.expr(check), F.lit(False))
+        return df.withColumns({"valid": good, "explain": F.when(~good, F.lit(check))})
+    judge = python_validator(lambda text: check(json.loads(text)))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.withColumn("__r", judge(whole)).withColumns({"valid": F.col("__r.valid"), "explain": F.col("__r.explain")}).drop("__r")
+
+
 def accepted(lines: DataFrame) -> DataFrame:
     """Lines that count as valid: true, or not judged."""
     return lines.where(F.coalesce("valid", F.lit(True)))

@@ -10,6 +10,10 @@ from pyspark.sql.window import Window as W
 
 from tabloom.errors import ParameterError
 from tabloom.functions.expressions import category
+from tabloom.operators.sequences import numbered, running_sums
+
+#: Slots of the unit interval that drawn numbers and intervals meet in.
+SLOTS = 4096
 
 
 def category_probabilities(df: DataFrame, columns: Sequence[str], log: bool = False) -> DataFrame:
@@ -29,23 +33,37 @@ def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def uniform_column_probabilities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, probability, high): every column equally likely, its values by share; one cumulative order over all."""
-    each = category_probabilities(df, columns).withColumn("probability", F.col("probability") / len(columns))
-    w = W.orderBy("column", "value").rowsBetween(W.unboundedPreceding, 0)
-    return each.select("column", "value", "probability", F.sum("probability").over(w).alias("high"))
+    each = category_probabilities(df, columns).select("column", "value", (F.col("probability") / len(columns)).alias("probability"))
+    return running_sums(each, ["column", "value"], {"high": F.col("probability")}).select("column", "value", "probability", "high")
 
 
 def rows_by_category(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(value, rn, key): rows of each category numbered from 1 by key, so that a draw is a join on (value, rn)."""
-    return df.select(category(F.col(f"`{column}`")).alias("value"), key, F.row_number().over(W.partitionBy(category(F.col(f"`{column}`"))).orderBy(key)).alias("rn"))
+    """(value, rn, key): rows of each category numbered from 1 by key, so that a draw is a join on (value, rn).
+
+    All rows are numbered in the order of value and key, by ranges, and a category's numbers start behind those before it: a
+    category of any size is split."""
+    rows = df.select(category(F.col(f"`{column}`")).alias("value"), F.col(key))
+    first = rows.groupBy("value").agg(F.count("*").alias("__n"))
+    first = running_sums(first, "value", {"__upto": F.col("__n")}).select("value", (F.col("__upto") - F.col("__n")).alias("__before"))
+    return numbered(rows, ["value", key], "__at").join(first, "value").select("value", key, (F.col("__at") - F.col("__before") + 1).cast("int").alias("rn"))
 
 
 def draw(uniforms: DataFrame, r: str, intervals: DataFrame) -> DataFrame:
-    """uniforms with the value whose interval (low, high] holds r; the intervals of one column are few and broadcast as an array."""
-    steps = intervals.agg(F.array_sort(F.collect_list(F.struct("high", "value"))).alias("steps"))
-    table = uniforms.withColumn("steps", steps.scalar())
-    found = F.get(F.filter("steps", lambda s: s["high"] > F.col(r)), F.lit(0))["value"]
-    last = F.element_at("steps", -1)["value"]
-    return table.withColumn("value", F.coalesce(found, last)).drop("steps")
+    """uniforms with the value whose interval [low, high) holds r, the last one beyond all.
+
+    The unit interval is cut into SLOTS equal slots; a slot lists the intervals that end in it and the next one after, so a
+    draw meets the few intervals of its slot whatever their number."""
+    n = SLOTS
+    place = lambda c: F.least(F.floor(c * n), F.lit(n - 1)).cast("int")
+    mine = intervals.select("high", "value").withColumn("slot", place(F.col("high"))).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("high", "value"))).alias("steps"))
+    every = uniforms.sparkSession.range(n).select(F.col("id").cast("int").alias("slot")).join(mine, "slot", "left")
+    # a fixed number of slots: one window over all of them is small
+    after = F.min(F.get("steps", F.lit(0))).over(W.orderBy("slot").rowsBetween(1, W.unboundedFollowing))
+    last = F.max(F.element_at("steps", -1)).over(W.partitionBy())
+    slots = every.select("slot", "steps", after.alias("after"), last.alias("last"))
+    found = uniforms.withColumn("slot", place(F.col(r))).join(slots, "slot", "left")
+    step = F.coalesce(F.get(F.filter("steps", lambda s: s["high"] > F.col(r)), F.lit(0)), "after", "last")
+    return found.withColumn("value", step["value"]).drop("slot", "steps", "after", "last")
 
 
 def match_rows(drawn: DataFrame, r: str, index: DataFrame) -> DataFrame:

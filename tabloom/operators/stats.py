@@ -33,9 +33,8 @@ def count_missing(df: DataFrame) -> DataFrame:
 
 def categorical_distribution(df: DataFrame, name: str) -> DataFrame:
     """(key, share): text of each value and its percentage of all rows; missing is a key."""
-    n = F.sum("n").over(W.partitionBy())
     counts = df.groupBy(category(scrub(df, name)).alias("key")).agg(F.count("*").alias("n"))
-    return counts.select("key", (F.col("n") * 100.0 / n).alias("share"))
+    return counts.select("key", (F.col("n") * 100.0 / df.agg(F.count("*")).scalar()).alias("share"))
 
 
 def doane_bins(n: Column, low: Column, high: Column, skew: Column) -> Column:
@@ -61,26 +60,21 @@ def binned_distribution(df: DataFrame, name: str, bins: DataFrame) -> DataFrame:
     width = (F.col("high") - F.col("low")) / F.col("bins")
     at = F.when(F.col("x").isNull(), None).when(width == 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.col("bins"), F.ceil((F.col("x") - F.col("low")) / width))))
     counts = rows.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    return counts.select("bin", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("mass")).where("bin is not null")
+    return counts.select("bin", (F.col("n") / df.agg(F.count("*")).scalar()).alias("mass")).where("bin is not null")
 
 
 def js_distance(p: DataFrame, q: DataFrame) -> DataFrame:
     """One row, distance: base-2 Jensen-Shannon distance of two (key, mass) frames; keys absent on a side have no mass."""
     a, b = p.toDF("k", "p"), q.toDF("k", "q")
     both = a.join(b, a["k"].eqNullSafe(b["k"]), "full_outer").select(F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
-    sums = both.agg(F.count("*").alias("keys"), F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.collect_list(F.struct("p", "q")).alias("all"))
-
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-
-    def term(r: Column) -> Column:
-        x, y = r["p"] / F.col("sp"), r["q"] / F.col("sq")
-        m = (x + y) / 2
-        return (part(x, m) + part(y, m)) / 2
-
-    value = F.sqrt(F.greatest(F.aggregate(F.col("all"), F.lit(0.0), lambda s, r: s + term(r)), F.lit(0.0)))
-    bad = (F.col("sp") == 0) | (F.col("sq") == 0) | F.isnan("sp") | F.isnan("sq")
-    return sums.select(F.when(F.col("keys") == 0, 0.0).when(bad, EMPTY_DISTANCE).otherwise(value).alias("distance"))
+    mass = both.agg(F.struct(F.sum("p").alias("p"), F.sum("q").alias("q")).alias("s")).scalar()
+    # the masses of both sides are one row; every key adds its term where it is, and the terms are summed up
+    rows = both.withColumn("s", mass)
+    x, y = F.col("p") / F.col("s.p"), F.col("q") / F.col("s.q")
+    part = lambda v: F.when(v > 0, v * F.log2(v / ((x + y) / 2))).otherwise(0.0)
+    usable = (F.col("s.p") > 0) & (F.col("s.q") > 0) & ~F.isnan("s.p") & ~F.isnan("s.q")
+    sums = rows.agg(F.count("*").alias("keys"), F.bool_and(usable).alias("usable"), F.sum(F.when(usable, (part(x) + part(y)) / 2)).alias("t"))
+    return sums.select(F.when(F.col("keys") == 0, 0.0).when(~F.col("usable"), EMPTY_DISTANCE).otherwise(F.sqrt(F.greatest("t", F.lit(0.0)))).alias("distance"))
 
 
 def column_distance(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
@@ -130,11 +124,13 @@ def distances(a: DataFrame, b: DataFrame, names: Sequence[str]) -> DataFrame:
 def pearson_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(row_col, col_col, value) of all pairs, from one pass; pairs without variance or rows are 0."""
     pairs = list(combinations(names, 2))
-    exprs = [F.coalesce(F.nanvl(F.corr(scrub(df, a).cast("double"), scrub(df, b).cast("double")), F.lit(0.0)), F.lit(0.0)) for a, b in pairs]
+    # every column is scrubbed once, below the aggregation
+    place = {c: f"v{i}" for i, c in enumerate(names)}
+    exprs = [F.coalesce(F.nanvl(F.corr(place[a], place[b]), F.lit(0.0)), F.lit(0.0)) for a, b in pairs]
     if not pairs:
         return df.sparkSession.createDataFrame([(n, n, 1.0) for n in names], "row_col string, col_col string, value double")
     rows = F.array(*[F.struct(F.lit(a).alias("row_col"), F.lit(b).alias("col_col"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)], *[F.struct(F.lit(b).alias("row_col"), F.lit(a).alias("col_col"), F.col(f"c{i}").alias("value")) for i, (a, b) in enumerate(pairs)], *[F.struct(F.lit(n).alias("row_col"), F.lit(n).alias("col_col"), F.lit(1.0).alias("value")) for n in names])
-    return df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).select(F.inline(rows))
+    return df.select(*[scrub(df, c).cast("double").alias(v) for c, v in place.items()]).agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).select(F.inline(rows))
 
 
 def correlation_ratio(df: DataFrame, cat: str, num: str) -> DataFrame:

@@ -36,9 +36,9 @@ def r6(name: str, out: str | None = None):
 
 
 def halves(spark: SparkSession, d: str, *names: str) -> tuple[DataFrame, DataFrame]:
-    """Even order keys as training, multiples of three as synthetic."""
+    """Even order keys as training, odd ones as synthetic: together all rows."""
     t = table(spark, d, "lineitem")
-    return t.where("l_orderkey % 2 = 0").select(*names), t.where("l_orderkey % 3 = 0").select(*names)
+    return t.where("l_orderkey % 2 = 0").select(*names), t.where("l_orderkey % 2 <> 0").select(*names)
 
 
 def gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ GAPS = "(SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 < 3 TH
 
 
 def bins_sql(c: str) -> str:
-    return f"""u AS (SELECT {c} AS x FROM lineitem WHERE l_orderkey % 2 = 0 UNION ALL SELECT {c} FROM lineitem WHERE l_orderkey % 3 = 0),
+    return f"""u AS (SELECT {c} AS x FROM lineitem WHERE l_orderkey % 2 = 0 UNION ALL SELECT {c} FROM lineitem WHERE l_orderkey % 2 <> 0),
 m AS (SELECT avg(x) AS m, count(x) AS n, min(x) AS lo, max(x) AS hi FROM u),
 s AS (SELECT any_value(n) AS n, any_value(lo)::DOUBLE AS lo, any_value(hi)::DOUBLE AS hi, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS g FROM u, m),
 b AS (SELECT n, lo, hi, CAST(ceil((hi - lo) / ((hi - lo) / (1 + log2(n) + log2(1 + abs(g) / sqrt(6.0::DOUBLE * (n - 2) / ((n + 1.0::DOUBLE) * (n + 3))))))) AS INTEGER) AS bins FROM s)"""
@@ -94,9 +94,9 @@ TEXTS, NUMBERS = ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedpri
 
 
 def js_sql() -> str:
-    out = [f"SELECT '{c}' AS \"column\", 'categorical' AS kind, round({jsd_sql(f'SELECT {c} AS k, count(*) AS w FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1', f'SELECT {c} AS k, count(*) AS w FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1')}, 6) AS distance" for c in TEXTS]
+    out = [f"SELECT '{c}' AS \"column\", 'categorical' AS kind, round({jsd_sql(f'SELECT {c} AS k, count(*) AS w FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1', f'SELECT {c} AS k, count(*) AS w FROM lineitem WHERE l_orderkey % 2 <> 0 GROUP BY 1')}, 6) AS distance" for c in TEXTS]
     for c in NUMBERS:
-        p, q = (f"SELECT bin AS k, mass AS w FROM ({mass_sql(c, w)})" for w in ("l_orderkey % 2 = 0", "l_orderkey % 3 = 0"))
+        p, q = (f"SELECT bin AS k, mass AS w FROM ({mass_sql(c, w)})" for w in ("l_orderkey % 2 = 0", "l_orderkey % 2 <> 0"))
         out.append(f"SELECT * FROM (WITH {bins_sql(c)} SELECT '{c}' AS \"column\", 'numeric' AS kind, round({jsd_sql(p, q)}, 6) AS distance)")
     return " UNION ALL ".join(out)
 
@@ -195,14 +195,14 @@ def modes(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- rows of two tables
 
-EVEN, THIRD = "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0"
+EVEN, THIRD = "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 <> 0"
 
 
 def order_parts(spark: SparkSession, d: str, null: bool = False) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders")
     if null:
         o = o.withColumn("o_custkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")))
-    return tuple(o.where(f"o_orderkey % {k} = 0").select("o_custkey", "o_orderstatus", "o_orderpriority") for k in (2, 3))
+    return tuple(o.where(f"o_orderkey % 2 {is_} 0").select("o_custkey", "o_orderstatus", "o_orderpriority") for is_ in ("=", "<>"))
 
 
 @query(f"SELECT count(*) AS memorized FROM ({EVEN} INTERSECT {THIRD})")
@@ -226,17 +226,17 @@ def novel_rows(spark: SparkSession, d: str) -> DataFrame:
     return relational.novel_rows(*order_parts(spark, d))
 
 
-@query("SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 7 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS o_custkey, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 <> 0) b ON a.k = b.k")
 def outer_indicator(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return relational.outer_indicator(o.where("o_orderkey % 7 = 0"), o.where("o_orderkey % 5 = 0"), ["o_custkey"])
+    return relational.outer_indicator(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 <> 0"), ["o_custkey"])
 
 
 @query("""SELECT query_id, neighbour_id, rank, round(distance, 6) AS distance FROM (SELECT a.p_partkey AS query_id, b.p_partkey AS neighbour_id, sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)) AS distance,
-row_number() OVER (PARTITION BY a.p_partkey ORDER BY sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)), b.p_partkey)::INTEGER AS rank FROM part a, part b WHERE a.p_brand = 'Brand#11' AND a.p_partkey <> b.p_partkey) WHERE rank <= 5""")
+row_number() OVER (PARTITION BY a.p_partkey ORDER BY sqrt(pow(a.p_size - b.p_size, 2) + pow(a.p_retailprice - b.p_retailprice, 2)), b.p_partkey)::INTEGER AS rank FROM part a, part b WHERE a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey) WHERE rank <= 5""")
 def knn_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_brand", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
-    return relational.nearest(p.where("p_brand = 'Brand#11'"), p, "p_partkey", "v").select("query_id", "neighbour_id", "rank", r6("distance"))
+    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
+    return relational.nearest(p.where("p_partkey % 50 = 0"), p, "p_partkey", "v").select("query_id", "neighbour_id", "rank", r6("distance"))
 
 
 @query("SELECT r_regionkey, r_name FROM region, range(2) UNION ALL SELECT r_regionkey, r_name FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 2)")
@@ -367,7 +367,7 @@ def binary_decode(spark: SparkSession, d: str) -> DataFrame:
     return codec.decode(codec.encode(n))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ELSE o_orderpriority END AS o_orderpriority FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def binary_decode_mode(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     codec = codecs.BinaryCodec("o_orderpriority").fit(o, "o_orderkey")
@@ -474,23 +474,26 @@ def sequences_to_long(spark: SparkSession, d: str) -> DataFrame:
     return sequences.sequences_to_long(s, "user_id", ["event_type", "value"])
 
 
-MONTHLY = "(SELECT o_orderpriority, month(o_orderdate) AS m, round(sum(o_totalprice), 2) AS total FROM orders WHERE month(o_orderdate) <= 3 GROUP BY 1, 2)"
+MONTHLY = "(SELECT o_orderpriority, month(o_orderdate) AS m, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2)"
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("m", F.month("o_orderdate")).where("m <= 3")
+    o = table(spark, d, "orders").withColumn("m", F.month("o_orderdate"))
     return o.groupBy("o_orderpriority", "m").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"SELECT o_orderpriority, max(CASE WHEN m = 1 THEN total END) AS \"1\", max(CASE WHEN m = 2 THEN total END) AS \"2\", max(CASE WHEN m = 3 THEN total END) AS \"3\" FROM {MONTHLY} GROUP BY 1")
+MONTHS = list(range(1, 13))
+
+
+@query("SELECT o_orderpriority, " + ", ".join(f'max(CASE WHEN m = {m} THEN total END) AS "{m}"' for m in MONTHS) + f" FROM {MONTHLY} GROUP BY 1")
 def long_to_wide(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.long_to_wide(monthly(spark, d), ["o_orderpriority"], "m", "total", [1, 2, 3])
+    return sequences.long_to_wide(monthly(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
 
 
 @query(f"SELECT o_orderpriority, m::VARCHAR AS t, total AS value FROM {MONTHLY}")
 def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
-    wide = sequences.long_to_wide(monthly(spark, d), ["o_orderpriority"], "m", "total", [1, 2, 3])
-    return sequences.wide_to_long(wide, ["o_orderpriority"], ["1", "2", "3"])
+    wide = sequences.long_to_wide(monthly(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
+    return sequences.wide_to_long(wide, ["o_orderpriority"], [str(m) for m in MONTHS])
 
 
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS flag FROM events")
@@ -655,11 +658,11 @@ def generation_summary(spark: SparkSession, d: str) -> DataFrame:
     return records.summary(judged(spark, d), 100, 500)
 
 
-@query("SELECT a.rank::INTEGER AS rank, a.c_name, a.c_mktsegment, b.c_acctbal FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS rank, c_name, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0) a JOIN (SELECT row_number() OVER (ORDER BY c_custkey) AS rank, c_nationkey::VARCHAR AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0) b USING (rank)")
+@query("SELECT a.rank::INTEGER AS rank, a.c_name, a.c_mktsegment, b.c_acctbal FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS rank, c_name, c_mktsegment FROM customer) a JOIN (SELECT row_number() OVER (ORDER BY c_custkey) AS rank, c_nationkey::VARCHAR AS c_acctbal FROM customer) b USING (rank)")
 def assemble_records(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    one = records.validate(c.withColumn("text", F.concat_ws(",", "c_name", "c_mktsegment")), "text", "c_custkey % 4 <> 0", ",")
-    two = records.validate(c.withColumn("text", F.col("c_nationkey").cast("string")), "text", "c_custkey % 3 <> 0", ",")
+    one = records.validate(c.withColumn("text", F.concat_ws(",", "c_name", "c_mktsegment")), "text", "c_custkey is not null", ",")
+    two = records.validate(c.withColumn("text", F.col("c_nationkey").cast("string")), "text", "c_custkey is not null", ",")
     return records.assemble([(one, ["c_name", "c_mktsegment"]), (two, ["c_acctbal"])], "c_custkey", ["c_name", "c_mktsegment", "c_acctbal"])
 
 
@@ -699,106 +702,28 @@ def generate_text(spark: SparkSession, d: str) -> DataFrame:
     return synthesizers.TextSynthesizer(3, "n_name").fit(table(spark, d, "nation")).sample(spark, 200, seed=7)
 
 
-# ---------------------------------------------------------------- whole tables
-# The same operators as the queries without _all, over inputs that together hold every row; the SQL is theirs with those inputs.
-
-
-def whole(name: str, *changes: tuple[str, str]) -> str:
-    """The SQL of a query with other filters, each of which it must have."""
-    sql = SQL[name]
-    for old, new in changes:
-        assert old in sql, (name, old)
-        sql = sql.replace(old, new)
-    return sql
-
-
-def odd_and_even(spark: SparkSession, d: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Even keys as training, odd ones as synthetic."""
-    t = table(spark, d, name)
-    return t.where(f"{key} % 2 = 0"), t.where(f"{key} % 2 <> 0")
+# ---------------------------------------------------------------- completion, whole records
 
 
-def all_orders(spark: SparkSession, d: str, null: bool = False) -> tuple[DataFrame, DataFrame]:
-    cust = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey") if null else F.col("o_custkey")
-    a, b = odd_and_even(spark, d, "orders", "o_orderkey")
-    return tuple(x.select(cust, "o_orderstatus", "o_orderpriority") for x in (a, b))
+@query("SELECT c_custkey, c_nationkey, c_mktsegment, true AS completed, true AS within FROM customer")
+def complete_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's balance drawn anew given nation and segment: the known cells stay, the drawn ones lie in the fitted range."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    model = synthesizers.CopulaSynthesizer(primary_key="c_custkey").fit(c)
+    low, high = model.range_of("c_acctbal")
+    done = model.complete(c.drop("c_acctbal"), "c_custkey", seed=3)
+    return done.select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").isNotNull().alias("completed"), F.col("c_acctbal").between(low, high).alias("within"))
 
 
-LINES, ORDERS = ("l_orderkey % 3 = 0", "l_orderkey % 2 <> 0"), ("o_orderkey % 3 = 0", "o_orderkey % 2 <> 0")
+@query("SELECT 'BUILDING' AS c_mktsegment, 400::BIGINT AS n, 400::BIGINT AS over FROM (SELECT 1)")
+def sample_with_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """400 customers of one segment under a constraint that few rows meet."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    model = synthesizers.CopulaSynthesizer(constraints=["c_acctbal > 9000"], primary_key="c_custkey").fit(c)
+    drawn = model.sample(spark, 400, 5, {"c_mktsegment": "BUILDING"})
+    return drawn.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 9000).alias("over"))
 
 
-@query(whole("numeric_bins", LINES))
-def numeric_bins_all(spark: SparkSession, d: str) -> DataFrame:
-    return stats.shared_bins(*odd_and_even(spark, d, "lineitem", "l_orderkey"), "l_discount")
-
-
-@query(whole("numeric_distribution", LINES))
-def numeric_distribution_all(spark: SparkSession, d: str) -> DataFrame:
-    a, b = odd_and_even(spark, d, "lineitem", "l_orderkey")
-    return stats.binned_distribution(a, "l_discount", stats.shared_bins(a, b, "l_discount")).select("bin", r6("mass"))
-
-
-@query(whole("js_distance", LINES))
-def js_distance_all(spark: SparkSession, d: str) -> DataFrame:
-    a, b = odd_and_even(spark, d, "lineitem", "l_orderkey")
-    return stats.distances(a.select(*TEXTS, *NUMBERS), b.select(*TEXTS, *NUMBERS), [*TEXTS, *NUMBERS]).select("column", "kind", r6("distance"))
-
-
-@query(whole("memorized_rows", ORDERS))
-def memorized_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    return relational.count_memorized(*all_orders(spark, d))
-
-
-@query(whole("memorized_rows_nulls", ORDERS))
-def memorized_rows_nulls_all(spark: SparkSession, d: str) -> DataFrame:
-    return relational.count_memorized(*all_orders(spark, d, null=True))
-
-
-@query(whole("memorized_rows_mixed_types", ORDERS))
-def memorized_rows_mixed_types_all(spark: SparkSession, d: str) -> DataFrame:
-    a, b = all_orders(spark, d)
-    return relational.count_memorized(a, b.withColumn("o_custkey", F.col("o_custkey").cast("string")))
-
-
-@query(whole("novel_rows", ORDERS))
-def novel_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    return relational.novel_rows(*all_orders(spark, d))
-
-
-@query(whole("outer_indicator", ("o_orderkey % 7 = 0", "o_orderkey % 2 = 0"), ("o_orderkey % 5 = 0", "o_orderkey % 2 <> 0")))
-def outer_indicator_all(spark: SparkSession, d: str) -> DataFrame:
-    return relational.outer_indicator(*odd_and_even(spark, d, "orders", "o_orderkey"), ["o_custkey"])
-
-
-@query(whole("knn_neighbors", ("a.p_brand = 'Brand#11'", "a.p_partkey % 50 = 0")))
-def knn_neighbors_all(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
-    return relational.nearest(p.where("p_partkey % 50 = 0"), p, "p_partkey", "v").select("query_id", "neighbour_id", "rank", r6("distance"))
-
-
-MONTHS = list(range(1, 13))
-ALL_MONTHS = MONTHLY.replace(" WHERE month(o_orderdate) <= 3", "")
-
-
-def every_month(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("m", F.month("o_orderdate"))
-    return o.groupBy("o_orderpriority", "m").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-@query("SELECT o_orderpriority, " + ", ".join(f'max(CASE WHEN m = {m} THEN total END) AS "{m}"' for m in MONTHS) + f" FROM {ALL_MONTHS} GROUP BY 1")
-def long_to_wide_all(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.long_to_wide(every_month(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
-
-
-@query(whole("wide_to_long", (MONTHLY, ALL_MONTHS)))
-def wide_to_long_all(spark: SparkSession, d: str) -> DataFrame:
-    wide = sequences.long_to_wide(every_month(spark, d), ["o_orderpriority"], "m", "total", MONTHS)
-    return sequences.wide_to_long(wide, ["o_orderpriority"], [str(m) for m in MONTHS])
-
-
-@query(whole("assemble_records", ("WHERE c_custkey % 4 <> 0", ""), ("WHERE c_custkey % 3 <> 0", "")))
-def assemble_records_all(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    one = records.validate(c.withColumn("text", F.concat_ws(",", "c_name", "c_mktsegment")), "text", "c_custkey is not null", ",")
-    two = records.validate(c.withColumn("text", F.col("c_nationkey").cast("string")), "text", "c_custkey is not null", ",")
-    return records.assemble([(one, ["c_name", "c_mktsegment"]), (two, ["c_acctbal"])], "c_custkey", ["c_name", "c_mktsegment", "c_acctbal"])
+@query("SELECT o_orderkey, o_totalprice > 100000 AS valid, CASE WHEN o_totalprice > 100000 THEN NULL ELSE 'o_totalprice > 100000' END AS explain FROM orders")
+def whole_record_check(spark: SparkSession, d: str) -> DataFrame:
+    return records.validate_records(table(spark, d, "orders"), "o_totalprice > 100000").select("o_orderkey", "valid", "explain")

@@ -53,51 +53,71 @@ class RecordPipeline:
         """(id, text, valid, explain, values) of n drawn lines."""
         return records.validate(batch.model.sample(spark, n, seed, records.check_start(start, self.delimiter if start else None)), "text", batch.check, self.delimiter)
 
-    def generate(self, spark: SparkSession, n: int, seed: int = 0, most_invalid: int = 1000, start: dict[str, str] | None = None) -> tuple[DataFrame, list[DataFrame]]:
-        """(records of text, a summary of each batch). Lines are drawn in rounds; an error where invalid ones exceed the budget."""
+    def generate(
+        self,
+        spark: SparkSession,
+        n: int,
+        seed: int = 0,
+        most_invalid: int = 1000,
+        start: dict[str, str] | None = None,
+        check: Callable[[dict], bool | None] | str | None = None,
+        progress: Callable[[dict], None] | None = None,
+    ) -> tuple[DataFrame, list[DataFrame]]:
+        """(records of text, a summary of each batch). Lines are drawn in rounds; an error where invalid ones exceed the budget.
+
+        check: of whole records; those that fail count as invalid too and others are drawn for them. progress is told after
+        each round: batch, drawn, valid and invalid lines (batch None: whole records)."""
         if start and list(start) != self.batches[0].columns[: len(start)]:
             raise ParameterError("start values are for the first columns of the first batch")
         prefix = "".join(v + self.delimiter for v in start.values()) if start else ""
-        parts, summaries = [], []
-        for i, b in enumerate(self.batches):
-            drawn = n + min(most_invalid, max(16, n // 4))
-            while True:
-                every = self.lines(spark, b, drawn, seed * 1000 + i, prefix if i == 0 else "")
-                kept = records.within_budget(every, "id", most_invalid, n)
-                good = records.accepted(kept).count()
-                if good >= n:
-                    break
-                bad = kept.count() - good
-                if bad >= most_invalid or drawn > n + most_invalid:
-                    raise GenerationError(f"batch {i}: {bad} invalid lines for {good} valid ones; at most {most_invalid} are allowed")
-                drawn = min(2 * drawn, n + most_invalid + 1)
-            parts.append((kept, b.columns))
-            summaries.append(records.summary(kept, n, most_invalid))
-        return records.assemble(parts, "id", self.headers), summaries
+        tell = progress or (lambda facts: None)
+        wanted = n
+        while True:
+            parts, summaries = [], []
+            for i, b in enumerate(self.batches):
+                kept = self.drawn(spark, i, wanted, seed, most_invalid, prefix if i == 0 else "", tell)
+                parts.append((kept, b.columns))
+                summaries.append(records.summary(kept, wanted, most_invalid))
+            whole = records.assemble(parts, "id", self.headers)
+            if check is None:
+                return whole, summaries
+            judged = records.validate_records(whole, check)
+            good = records.accepted(judged).count()
+            tell({"batch": None, "drawn": wanted, "valid": good, "invalid": wanted - good})
+            if good >= n:
+                best = records.accepted(judged).drop("valid", "explain")
+                return best.orderBy("rank").limit(n), summaries
+            if wanted - good > most_invalid:
+                raise GenerationError(f"{wanted - good} invalid records for {good} valid ones; at most {most_invalid} are allowed")
+            wanted = min(2 * wanted, wanted + most_invalid + 1)
+
+    def drawn(self, spark: SparkSession, i: int, n: int, seed: int, most_invalid: int, prefix: str, tell: Callable[[dict], None]) -> DataFrame:
+        """Lines of a batch up to n valid ones."""
+        b, drawn = self.batches[i], n + min(most_invalid, max(16, n // 4))
+        while True:
+            every = self.lines(spark, b, drawn, seed * 1000 + i, prefix)
+            kept = records.within_budget(every, "id", most_invalid, n)
+            good = records.accepted(kept).count()
+            bad = kept.count() - good
+            tell({"batch": i, "drawn": drawn, "valid": good, "invalid": bad})
+            if good >= n:
+                return kept
+            if bad >= most_invalid or drawn > n + most_invalid:
+                raise GenerationError(f"batch {i}: {bad} invalid lines for {good} valid ones; at most {most_invalid} are allowed")
+            drawn = min(2 * drawn, n + most_invalid + 1)
 
     def generate_seeded(self, seeds: DataFrame, key: str, columns: Sequence[str], seed: int = 0, rounds: int = 20) -> DataFrame:
-        """One record of the first batch for every seed row, in its order; seeds whose line is invalid are tried again."""
+        """One record of the first batch for every seed row; seeds whose line is invalid are tried again.
+
+        Seeds are a table throughout: a round extends every open seed's prefix where the row is and keeps the valid lines."""
         b = self.batches[0]
-        named = records.Seeds(tuple(columns), self.delimiter).prefix(seeds, b.columns)
-        todo, out = [(r[key], r["prefix"]) for r in named.select(key, "prefix").toLocalIterator()], []
-        spark = seeds.sparkSession
+        open_ = records.Seeds(tuple(columns), self.delimiter).prefix(seeds, b.columns).select(F.col(key).cast("long").alias("id"), F.col("prefix").alias("start"))
+        done = None
         for k in range(rounds):
-            if not todo:
-                break
-            tried = None
-            for p in sorted({x for _, x in todo}):
-                one = self.lines(spark, b, sum(x == p for _, x in todo), seed + 7919 * k, p).withColumn("prefix", F.lit(p))
-                tried = one if tried is None else tried.unionByName(one)
-            good: dict[str, list] = {}
-            for r in records.accepted(tried).select("prefix", "values").toLocalIterator():
-                good.setdefault(r["prefix"], []).append(r["values"])
-            left = []
-            for i, p in todo:
-                if good.get(p):
-                    out.append((i, *good[p].pop(0)[: len(b.columns)]))
-                else:
-                    left.append((i, p))
-            todo = left
-        if todo:
-            raise GenerationError(f"{len(todo)} seeds without a valid record after {rounds} rounds")
-        return spark.createDataFrame(out, ", ".join(["seed_id long", *[f"`{c}` string" for c in b.columns]]))
+            tried = records.validate(b.model.extend(open_, seed + 7919 * k), "text", b.check, self.delimiter)
+            good = records.accepted(tried).select("id", "values").checkpoint() if seeds.sparkSession.sparkContext.getCheckpointDir() else records.accepted(tried).select("id", "values").cache()
+            done = good if done is None else done.unionByName(good)
+            open_ = open_.join(good, "id", "left_anti")
+            if open_.isEmpty():
+                return done.select(F.col("id").alias("seed_id"), *[F.col("values")[i].alias(c) for i, c in enumerate(b.columns)])
+        raise GenerationError(f"{open_.count()} seeds without a valid record after {rounds} rounds")

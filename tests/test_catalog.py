@@ -43,16 +43,9 @@ def test_entry(spark, data):
 
 
 def test_whole_tables_are_read(spark, data):
-    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
-        a, b = catalog.odd_and_even(spark, data, name, key)
-        assert plain(a.unionByName(b).collect()) == plain(catalog.table(spark, data, name).collect())
-    assert len(catalog.long_to_wide_all(spark, data).columns) == 13
-    assert catalog.assemble_records_all(spark, data).count() == catalog.table(spark, data, "customer").count()
-    assert {r.query_id for r in catalog.knn_neighbors_all(spark, data).collect()} == {r.p_partkey for r in catalog.table(spark, data, "part").where("p_partkey % 50 = 0").collect()}
-
-
-def test_entry_reads_the_whole_table(spark, data):
-    import __spark_entry__
-
-    found = {r.column: r.distance for r in __spark_entry__.entry(spark).collect()}
-    assert found == {r.column: r.distance for r in catalog.js_distance_all(spark, data).collect()} != {r.column: r.distance for r in catalog.js_distance(spark, data).collect()}
+    for parts, name in ((catalog.halves(spark, data, "l_orderkey", "l_linenumber"), "lineitem"), (catalog.order_parts(spark, data), "orders")):
+        a, b = parts
+        assert plain(a.unionByName(b).collect()) == plain(catalog.table(spark, data, name).select(*a.columns).collect())
+    assert len(catalog.long_to_wide(spark, data).columns) == 13
+    assert catalog.assemble_records(spark, data).count() == catalog.table(spark, data, "customer").count()
+    assert {r.query_id for r in catalog.knn_neighbors(spark, data).collect()} == {r.p_partkey for r in catalog.table(spark, data, "part").where("p_partkey % 50 = 0").collect()}

@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.errors import DataError, ParameterError, UserError
+from tabloom.errors import DataError, GenerationError, ParameterError, UserError
 from tabloom.functions import expressions as X
-from tabloom.operators import cluster, codecs, detect, records, relational, sequences, stats
+from tabloom.operators import cluster, codecs, detect, records, relational, sampling, sequences, stats
 from tabloom.plans import record_pipeline, synthesizers
 from tabloom.sources import files
 from tabloom.streaming import streams
@@ -193,6 +193,55 @@ def test_synthesizers(spark):
     assert all(r.text.startswith("ab") for r in text.collect())
 
 
+def test_constraints_that_few_rows_meet_are_met_or_raise(spark):
+    df = spark.range(300).select(F.col("id").cast("double").alias("x"))
+    m = synthesizers.CopulaSynthesizer(constraints=["x > 290"]).fit(df)
+    assert m.sample(spark, 200, 1).where("x > 290").count() == 200
+    with pytest.raises(GenerationError):
+        synthesizers.CopulaSynthesizer(constraints=["x > 1000"]).fit(df).sample(spark, 5)
+
+
+def test_completion_depends_on_the_known_cells(spark):
+    df = spark.range(400).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    m = synthesizers.CopulaSynthesizer(primary_key="id").fit(df)
+    done = m.complete(df.select("id", "x"), "id", seed=1)
+    assert done.select(F.corr("x", "y")).first()[0] > 0.95 and done.count() == 400
+    some = spark.createDataFrame([(1, None), (2, 5.0)], "id long, x double")
+    assert [(r.id, r.x) for r in m.complete(some, "id").orderBy("id").collect()] == [(1, None), (2, 5.0)]
+    assert m.sample(spark, 300, 2, {"x": 390.0}).agg(F.avg("y")).first()[0] > 700 > m.sample(spark, 300, 2).agg(F.avg("y")).first()[0]
+    assert m.complete(df.select("id", "x").repartition(7), "id", 1).orderBy("id").collect() == done.orderBy("id").collect()
+
+
+def test_all_categories_and_contexts_are_kept(spark, tmp_path):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("c"), (F.col("id") % 3).cast("double").alias("x"))
+    m = synthesizers.CopulaSynthesizer().fit(df)
+    drawn = m.sample(spark, 20_000, 4)
+    assert drawn.select("c").distinct().count() > 4500 and drawn.join(df, "c", "left_anti").count() == 0
+    m.save(str(tmp_path / "m.json"))
+    assert synthesizers.CopulaSynthesizer.load(str(tmp_path / "m.json")).sample(spark, 50, 4).orderBy("c").collect() == m.sample(spark, 50, 4).orderBy("c").collect()
+    lines = spark.createDataFrame([(f"{a}{b}" * 130,) for a in "abcdefgh" for b in "ijklmnop"], "line string")
+    text = synthesizers.TextSynthesizer(4).fit(lines, most_contexts=30)
+    assert text.order == 1 and len(text.table) == 17 and max(len(r.text) for r in synthesizers.TextSynthesizer(4).fit(lines).sample(spark, 50, 1).collect()) > 200
+    text.save(str(tmp_path / "t.json"))
+    assert synthesizers.TextSynthesizer.load(str(tmp_path / "t.json")).sample(spark, 9, 2).collect() == text.sample(spark, 9, 2).collect()
+
+
+def test_sequences_are_saved_and_do_not_depend_on_partitions(spark, tmp_path):
+    df = spark.range(200).select((F.col("id") % 10).alias("e"), F.col("id").alias("t"), F.rand(1).alias("v"))
+    m = synthesizers.SequenceSynthesizer("e", "t", ["v"]).fit(df)
+    first = m.sample(spark, 30, 5).orderBy("sample_id", "pos").collect()
+    m.save(str(tmp_path / "s"))
+    again = synthesizers.SequenceSynthesizer.load(str(tmp_path / "s"))
+    again.source = again.source.repartition(9)
+    assert again.sample(spark, 30, 5).orderBy("sample_id", "pos").collect() == first
+
+
+def test_draws_meet_their_interval_whatever_their_number(spark):
+    values = spark.range(20_000).select(F.format_string("%05d", "id").alias("value"), ((F.col("id") + 1) / 20_000).alias("high"))
+    got = sampling.draw(spark.createDataFrame([(0.0,), (0.5,), (0.99999,), (1.0,), (0.25003,)], "r double"), "r", values)
+    assert {r.r: r.value for r in got.collect()} == {0.0: "00000", 0.5: "10000", 0.99999: "19999", 1.0: "19999", 0.25003: "05000"}
+
+
 def test_streamed_validation(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("1\nx\n")
@@ -218,5 +267,11 @@ def test_record_pipeline(spark, data):
     rows = made.collect()
     assert len(rows) == 12 and made.columns == ["rank", *n.columns] and all(r.n_regionkey == "1" for r in rows)
     assert all(s.first()["is_valid"] for s in summaries)
+    seen = []
+    few, _ = p.generate(spark, 5, seed=3, most_invalid=200, check="n_regionkey <> '0'", progress=seen.append)
+    assert few.count() == 5 and few.where("n_regionkey = '0'").count() == 0
+    assert {x["batch"] for x in seen} == {None, *range(len(p.batches))} and all(x["valid"] + x["invalid"] > 0 for x in seen)
+    judged = records.validate_records(n, lambda r: r["n_nationkey"] < 3)
+    assert judged.where("valid").count() == 3
     seeds = spark.createDataFrame([(7, "0"), (8, "1"), (9, "0")], "k long, n_regionkey string")
     assert sorted((r.seed_id, r.n_regionkey) for r in p.generate_seeded(seeds, "k", ["n_regionkey"]).collect()) == [(7, "0"), (8, "1"), (9, "0")]
