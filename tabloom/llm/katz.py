@@ -31,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
@@ -123,13 +123,15 @@ class Block:
             context = np.empty(len(self.tokens), np.int64)
             context[1:] = below.which[:-1]
             context[self.off[:-1]] = len(below.keys)
-            code, first, which = np.unique(context * len(self.vocabulary) + self.tokens, return_index=True, return_inverse=True)
+            code, which = np.unique(context * len(self.vocabulary) + self.tokens, return_inverse=True)
+            shorter = np.empty(len(code), np.int64)
+            shorter[which] = below.which
             left = code // len(self.vocabulary)
             key = C.mix(self.context_keys(len(self.made) + 1)[left] * _LEFT + self.vocabulary[code % len(self.vocabulary)] * _RIGHT)
             order = np.argsort(key)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            self.made.append(Grams(key[order], left[order], below.which[first][order], place[which]))
+            self.made.append(Grams(key[order], left[order], shorter[order], place[which]))
         return self.made[k - 1]
 
     def context_keys(self, k: int) -> np.ndarray:
@@ -167,11 +169,11 @@ class Block:
         at = at[order]
         return at, keys[order], need[at], have[at]
 
-    def wanted(self, k: int, begins: int) -> tuple[np.ndarray, np.ndarray]:
-        """(those of the contexts that any block asks about, their keys)."""
-        at, keys, _, _ = self.contexts(k, begins)
+    def wanted(self, k: int, begins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(those of the contexts that any block asks about, their keys, whether this one does)."""
+        at, keys, need, _ = self.contexts(k, begins)
         yes = self.bits(f"a{k}", keys)
-        return at[yes], keys[yes]
+        return at[yes], keys[yes], need[yes]
 
     def sums(self, k: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """What this block contributes to both sums of each context of an order."""
@@ -190,7 +192,8 @@ class Block:
         if k not in self.told:
             g, c, base = self.grams(k), self.counts(k), self.context_counts(k, model.begins)
             alpha = np.ones(len(base))
-            at, keys = self.wanted(k, model.begins)
+            at, _, need = self.wanted(k, model.begins)
+            at = at[need]
             mass, lower = (np.concatenate([np.zeros(0), *[np.frombuffer(x, np.float64) for x in self.answers.get(f"{n}{k}", [])]]) for n in "ml")
             alpha[at] = (1 - mass / np.maximum(base[at], 1)) / np.maximum(1 - lower, 1e-12)
             p = alpha[g.context] * self.probabilities(k - 1, model)[g.shorter]
@@ -206,27 +209,35 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def sent(step: str, block: int, keys: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+def within(keys: np.ndarray, bucket: int, parts: int) -> np.ndarray:
+    """32 bits of the keys of a bucket's range. Where two contexts fall together, one is asked about for nothing: its sums are
+    sent under its whole key and change nothing."""
+    return ((keys - np.uint64((bucket << 64) // parts)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32)
+
+
+def sent(step: str, block: int, keys: np.ndarray, values: list[np.ndarray], parts: int, need: np.ndarray | None = None) -> pa.RecordBatch:
     at = cuts(keys, parts)
     full = [k for k in range(parts) if at[k + 1] > at[k]]
     pack = lambda x: x.tobytes() if x.dtype == np.float64 else narrow(x)
-    columns = [C.binary_array([keys[at[k] : at[k + 1]].tobytes() for k in full]), *[C.binary_array([pack(v[at[k] : at[k + 1]]) for k in full]) for v in values]]
+    cut = lambda k: keys[at[k] : at[k + 1]] if step[0] != "a" else within(keys[at[k] : at[k + 1]], k, parts)
+    columns = [C.binary_array([cut(k).tobytes() for k in full]), *[C.binary_array([pack(v[at[k] : at[k + 1]]) for k in full]) for v in values]]
     columns += [pa.nulls(len(full), pa.binary())] * (2 - len(values))
-    return pa.RecordBatch.from_arrays([pa.array([step] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *columns], names=["step", "bucket", "block", "keys", "v0", "v1"])
+    columns.append(pa.nulls(len(full), pa.binary()) if need is None else C.binary_array([np.packbits(need[at[k] : at[k + 1]]).tobytes() for k in full]))
+    return pa.RecordBatch.from_arrays([pa.array([step] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *columns], names=["step", "bucket", "block", "keys", "v0", "v1", "need"])
 
 
-_SENT = "step string, bucket int, block long, keys binary, v0 binary, v1 binary"
+_SENT = "step string, bucket int, block long, keys binary, v0 binary, v1 binary, need binary"
 _ANSWER = "step string, bucket int, block long, values binary"
 STATS = -1  # the block of rows that hold a bucket's counts of counts
 
 
 def add_up(key: tuple, group: pa.Table) -> pa.Table:
     """A bucket's keys to answers for each block. c: totals of its keys, whether it owns them, and count statistics; a: whether
-    any block asks; m: both sums."""
+    any block asks; m: both sums, to those that ask."""
     step, bucket = key[0].as_py(), int(key[1].as_py())
     group = group.sort_by("block")
     blocks = group.column("block").to_pylist()
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")]
+    keys = [np.frombuffer(x.as_py(), np.uint32 if step[0] == "a" else np.uint64) for x in group.column("keys")]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     first = np.concatenate([[True], every[order][1:] != every[order][:-1]])
@@ -244,8 +255,10 @@ def add_up(key: tuple, group: pa.Table) -> pa.Table:
     if kind == "m":
         for c, title in (("v0", "m"), ("v1", "l")):
             total = np.bincount(where, np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in group.column(c)]))
-            for b, m in zip(blocks, mine, strict=True):
-                put(title + k, b, total[where[m]].tobytes())
+            for b, m, x in zip(blocks, mine, group.column("need"), strict=True):
+                flags = np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: m.stop - m.start].astype(bool)
+                if flags.any():
+                    put(title + k, b, total[where[m][flags]].tobytes())
     else:
         values = np.concatenate([wide(x.as_py(), len(k)) for x, k in zip(group.column("v0"), keys, strict=True)])
         total = np.zeros(int(name[-1]) + 1, np.int64)
@@ -335,8 +348,18 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
     found = [statistics(a, k) for k, a in enumerate(answers, 1)]
     model = Model(found[0], found[1:], begins)
 
-    def with_answers():
-        return blocks.groupBy("block").cogroup(reduce(DataFrame.unionByName, [a.where(F.col("block") != STATS) for a in answers]).groupBy("block"))
+    def with_answers(keep: Column | None = None):
+        keep = F.lit(True) if keep is None else keep
+        every = reduce(DataFrame.unionByName, [a.where(F.col("block") != STATS) for a in answers])
+        return blocks.where(keep).groupBy("block").cogroup(every.where(keep).groupBy("block"))
+
+    def gathered(f, name: str) -> DataFrame:
+        """Answers to what f sends, a third of the blocks after the other: blocks and answers meet in a third of the disk."""
+        third = F.pmod(F.xxhash64("block"), F.lit(3))
+        rows = [C.settle(with_answers(third == i).applyInArrow(f, _SENT), name) for i in range(3)]
+        out = told(reduce(DataFrame.unionByName, rows), name)
+        C.discard(*rows)
+        return out
 
     def ask(row: pa.Table, told: pa.Table) -> pa.Table:
         b, out = load(row, told), []
@@ -348,16 +371,16 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
     def contribute(k: int):
         def run(row: pa.Table, told: pa.Table) -> pa.Table:
             b = load(row, told)
-            at, keys = b.wanted(k, begins)
+            at, keys, need = b.wanted(k, begins)
             mass, lower = b.sums(k, model)
-            return pa.Table.from_batches([sent(f"m{k}", b.block, keys, [mass[at], lower[at]], parts)], _ARROW_SENT)
+            return pa.Table.from_batches([sent(f"m{k}", b.block, keys, [mass[at], lower[at]], parts, need)], _ARROW_SENT)
 
         return run
 
     if order > 1:
-        answers.append(told(with_answers().applyInArrow(ask, _SENT), "asked"))
+        answers.append(gathered(ask, "asked"))
     for k in range(2, order + 1):
-        answers.append(told(with_answers().applyInArrow(contribute(k), _SENT), f"sums-{k}"))
+        answers.append(gathered(contribute(k), f"sums-{k}"))
 
     def final(row: pa.Table, told: pa.Table) -> pa.Table:
         b = load(row, told)
@@ -381,4 +404,4 @@ def score(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text
     return with_answers().applyInArrow(final, schema)
 
 
-_ARROW_SENT = pa.schema([("step", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("v0", pa.binary()), ("v1", pa.binary())])
+_ARROW_SENT = pa.schema([("step", pa.string()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("v0", pa.binary()), ("v1", pa.binary()), ("need", pa.binary())])
