@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from tabloom.llm import _core as C
 
-END, CACHE_WORDS, POOL = 2, 1_000_000, 1024
+END, CACHE_WORDS = 2, 1_000_000
+#: A pool is packed when it holds so many pieces, or tokens of so many sequences, and until it holds a quarter of both.
+POOL, POOL_SEQUENCES = 1024, 256
 
 
 @dataclass(frozen=True)
@@ -147,11 +149,11 @@ class Packer:
         if item.length:
             self.pool.append(item)
             self.held += item.length
-            if len(self.pool) >= POOL or self.held >= 256 * lim.tokens:
-                self.pack(POOL // 4)
+            if len(self.pool) >= POOL or self.held >= POOL_SEQUENCES * lim.tokens:
+                self.pack(POOL // 4, POOL_SEQUENCES // 4 * lim.tokens)
 
-    def pack(self, keep: int) -> None:
-        """Fill bins until at most `keep` items and few tokens are left."""
+    def pack(self, keep: int, room: int = 0) -> None:
+        """Fill bins until at most `keep` items and `room` tokens are left."""
         lim, items = self.limits, self.pool
         tokens, loss, lead = (np.array([f(i) for i in items], np.int64) for f in (lambda i: i.length, lambda i: i.loss, lambda i: i.lead))
         alive, place = tokens > 0, {id(i): k for k, i in enumerate(items)}
@@ -167,7 +169,7 @@ class Packer:
                 alive[k] = item.length > 0
                 left += 1 if alive[k] else -1
 
-        while left and (keep == 0 or left > keep) and self.held:
+        while left and (left > keep or self.held > room):
             # scarcity: what the pool demands of each limit that it has
             scarce = np.array([tokens[alive].sum() / lim.tokens**2, loss[alive].sum() / lim.loss**2])
             pieces, free = [], [lim.tokens, lim.segments, lim.loss]
