@@ -9,7 +9,7 @@ padded. Examples are packed where they are read: no shuffle, no driver, memory f
 Which tokens bear loss is told by a mask of 0/1 per id, or by a prompt: so many words at the beginning of a text bear none.
 
 Ids come from a public tokenizer file, word by word (white space never enters a token of this vocabulary), with a bounded
-cache of words.
+cache of words. New words are encoded some together with a mark between them, those that hold the mark alone.
 
 Defined results: null or empty texts are the end id alone; a very long text becomes many pieces, each id in exactly one;
 repeated rows are packed each; rows without a key keep none; ties go to the example read first; other columns are ignored; an empty table gives no rows.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tabloom.llm import _core as C
 
 END, CACHE_WORDS = 2, 1_000_000
+#: The mark between words that are encoded together, and how many those are.
+MARK, TOGETHER = "|", 20
 #: A pool is packed when it holds so many pieces, or tokens of so many sequences, and until it holds a quarter of both.
 POOL, POOL_SEQUENCES = 1024, 256
 
@@ -56,6 +58,23 @@ class Words:
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), END + 1) <= 1 << 16 else "<u4")
         self.end = np.array([END], self.kind).tobytes()
         self.cache: dict[bytes, bytes] = {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        return (np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put the words' ids into the cache."""
+        text = [w.decode() for w in words]
+        alone = [k for k, t in enumerate(text) if MARK in t] if len(self.mark) == 1 else range(len(text))
+        self.cache.update((words[k], ids.tobytes()) for k, ids in zip(alone, self.encode([text[k] for k in alone]), strict=True))
+        rest = sorted(set(range(len(text))).difference(alone))
+        groups = [rest[lo : lo + TOGETHER] for lo in range(0, len(rest), TOGETHER)]
+        size = self.kind.itemsize
+        for group, ids in zip(groups, self.encode([f" {MARK} ".join([text[k] for k in g]) for g in groups]), strict=True):
+            raw, at = ids.tobytes(), (np.flatnonzero(ids == self.mark[0]) * size).tolist()
+            parts = (raw[a:b] for a, b in zip([0, *(x + size for x in at)], [*at, len(raw)], strict=True))
+            self.cache.update(zip([words[k] for k in group], parts, strict=True))
 
     def ids(self, texts: list[bytes], prompt: Callable[[bytes], int] | None = None) -> list[tuple[np.ndarray, int]]:
         """(ids, how many at the beginning bear no loss) of each text."""
@@ -65,9 +84,7 @@ class Words:
         cache = self.cache
         new = [w for w in set().union(*split) if w not in cache]
         for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            cache.update(zip(part, (np.array(e.ids, self.kind).tobytes() for e in got), strict=True))
+            self.learn(new[lo : lo + 10_000])
         out = []
         for t, ws in zip(texts, split, strict=True):
             lead = sum(map(len, map(cache.__getitem__, ws[: prompt(t)]))) // self.kind.itemsize if prompt else 0
