@@ -49,3 +49,10 @@ def test_whole_tables_are_read(spark, data):
     assert len(catalog.long_to_wide(spark, data).columns) == 13
     assert catalog.assemble_records(spark, data).count() == catalog.table(spark, data, "customer").count()
     assert {r.query_id for r in catalog.knn_neighbors(spark, data).collect()} == {r.p_partkey for r in catalog.table(spark, data, "part").where("p_partkey % 50 = 0").collect()}
+
+
+def test_unknown_codes_of_odd_keys_decode_to_the_mode(spark, data):
+    own = {r.o_orderkey: r.o_orderpriority for r in catalog.table(spark, data, "orders").collect()}
+    found = catalog.binary_decode_mode(spark, data).collect()
+    mode = min(set(own.values()), key=lambda v: (-list(own.values()).count(v), v))
+    assert len(found) == len(own) and {r.o_orderkey: r.o_orderpriority for r in found} == {k: mode if k % 2 else v for k, v in own.items()}
