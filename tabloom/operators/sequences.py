@@ -6,12 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tabloom.errors import DataError, ParameterError
 
 #: Smallest range when scaling; limits of missing values for a valid example.
 LEAST_RANGE, MOST_MISSING, RUN_SHARE, RUN_LOW, RUN_HIGH = 1e-6, 0.1, 0.05, 2.0, 5.0
+#: Ranges that rows are numbered in at most, rows that make a further range worth it, and keys drawn for each to set its bounds.
+MOST_RANGES, RANGE_ROWS, RANGE_DRAWS = 256, 20_000, 20
 
 
 def positions(df: DataFrame, example: str, time: str) -> DataFrame:
@@ -129,17 +132,55 @@ def autosplit(df: DataFrame, order: str, length: int, time: str | None = None) -
     """Fixed windows: rows by `order` cut to a multiple of length, then by time; `example_id` counts windows.
 
     Numbered in two steps, within ranges of the order key and by the ranges' sizes, so no task sees all rows."""
-    kept = numbered(df, order, "__rn")
-    n = df.count() // length * length
-    kept = kept.where(F.col("__rn") < n).drop("__rn")
+    n = df.count()
+    kept = numbered(df, order, "__rn").where(F.col("__rn") < n // length * length).drop("__rn") if n % length else df
     ranked = numbered(kept, [time, order] if time else [order], "__rn")
     return ranked.withColumn("example_id", F.floor(F.col("__rn") / length).cast("long")).drop("__rn")
 
 
+def comparable(c: Column, kind: T.DataType) -> Column:
+    """A key in the same order, in types whose values come back from Python as they went, whatever the time zones."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[comparable(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c) if isinstance(kind, T.TimestampNTZType) else c
+
+
+def literal(value: object, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with `__part`: ranges in the total order of the keys.
+
+    The bounds are constants of the plan, so a row's range is the same wherever the plan is run; Spark's own ranges are drawn
+    anew for each exchange and merged by its size, and two branches of a plan number different ones. The bounds come from a
+    few keys of each range, chosen by hash, and only balance the ranges: whatever they are, every row has its right place."""
+    key = comparable(F.struct(*keys), df.select(*keys).schema)
+    parts = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = df.select(key.alias("key")).withColumn("draw", F.xxhash64("key", F.monotonically_increasing_id())).orderBy("draw").limit(parts * RANGE_DRAWS)
+    kind = drawn.schema["key"].dataType
+    rows = drawn.orderBy("key").collect()
+    share = (max(r.draw for r in rows) + 2**63 + 1) / 2**64 if len(rows) == parts * RANGE_DRAWS else 1  # of the rows, that was drawn
+    parts = min(parts, 1 + int(len(rows) / share / RANGE_ROWS))
+    bounds = [literal(rows[len(rows) * i // parts].key, kind) for i in range(1, parts)]
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < bounds[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    return df.withColumn("__part", place(0, len(bounds)))
+
+
 def numbered(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
-    """df with row numbers from 0 in the total order of the keys: range partitions, numbered inside, shifted by those before."""
+    """df with row numbers from 0 in the total order of the keys: ranges, numbered inside, shifted by those before."""
     keys = [order] if isinstance(order, str) else list(order)
-    ranged = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = in_ranges(df, keys)
     inner = ranged.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -147,9 +188,9 @@ def numbered(df: DataFrame, order: str | Sequence[str], name: str) -> DataFrame:
 
 
 def running_sums(df: DataFrame, order: str | Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """df with the sum of each expression up to and with each row in the total order, by range partitions like numbered."""
+    """df with the sum of each expression up to and with each row in the total order, by ranges like numbered."""
     keys = [order] if isinstance(order, str) else list(order)
-    ranged = df.withColumns({f"__x_{n}": c for n, c in sums.items()}).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    ranged = in_ranges(df.withColumns({f"__x_{n}": c for n, c in sums.items()}), keys)
     w = W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
     inner = ranged.withColumns({f"__s_{n}": F.sum(f"__x_{n}").over(w) for n in sums})
     totals = ranged.groupBy("__part").agg(*[F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums])

@@ -5,6 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabloom.errors import DataError, GenerationError, ParameterError, UserError
 from tabloom.functions import expressions as X
@@ -275,3 +276,19 @@ def test_record_pipeline(spark, data):
     assert judged.where("valid").count() == 3
     seeds = spark.createDataFrame([(7, "0"), (8, "1"), (9, "0")], "k long, n_regionkey string")
     assert sorted((r.seed_id, r.n_regionkey) for r in p.generate_seeded(seeds, "k", ["n_regionkey"]).collect()) == [(7, "0"), (8, "1"), (9, "0")]
+
+
+def test_numbers_do_not_depend_on_what_a_branch_reads(spark, monkeypatch):
+    rows = spark.range(0, 400_000, 1, 8).select(F.pmod(F.col("id") * 7919, F.lit(400_003)).alias("k"), F.when(F.col("id") % 1000 != 0, F.floor(F.col("id") / 97)).alias("t"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        for out in (sequences.numbered(rows, ["t", "k"], "n"), sequences.running_sums(rows, ["t", "k"], {"n": F.lit(1)}).withColumn("n", F.col("n") - 1)):
+            right = out.withColumn("at", F.row_number().over(Window.orderBy("t", "k")) - 1)
+            assert right.where("n <> at or length(wide) <> 256").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    monkeypatch.setattr(sequences, "RANGE_ROWS", 1)
+    few = spark.createDataFrame([(None, 2.0), (1.5, None), (float("nan"), 1.0), (1.5, float("-inf"))], "a double, b double")
+    assert [r.n for r in sequences.numbered(few, ["a", "b"], "n").orderBy("a", "b").collect()] == [0, 1, 2, 3]
+    assert sequences.numbered(few.where("false"), "a", "n").count() == 0
