@@ -1,6 +1,7 @@
 """Small hand-computed cases of the operators."""
 
 import math
+import random
 import re
 
 import pytest
@@ -292,3 +293,27 @@ def test_numbers_do_not_depend_on_what_a_branch_reads(spark, monkeypatch):
     few = spark.createDataFrame([(None, 2.0), (1.5, None), (float("nan"), 1.0), (1.5, float("-inf"))], "a double, b double")
     assert [r.n for r in sequences.numbered(few, ["a", "b"], "n").orderBy("a", "b").collect()] == [0, 1, 2, 3]
     assert sequences.numbered(few.where("false"), "a", "n").count() == 0
+
+
+def test_nearest_is_exact_across_cells_copies_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(relational, "CELL_POINTS", 8)
+    draw = random.Random(5)
+    rows = [(i, [float(draw.randrange(9)), draw.randrange(4) / 4]) for i in range(300)] + [(i, [draw.gauss(40, 9), draw.gauss(0, 9)]) for i in range(300, 500)]
+    rows += [(500, None), (501, [1.0, None]), (502, [float("nan"), 1.0]), (503, [float("inf"), 0.0]), (504, [1.0]), (505, [])]
+
+    def away(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return 3, 0.0
+        d = math.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b)), 0.0))
+        return (2, 0.0) if math.isnan(d) else (1, 0.0) if math.isinf(d) else (0, d)
+
+    def right(asks, points):
+        return {(i, j, n) for i, v in asks for n, (_, j) in enumerate(sorted((away(v, w), j) for j, w in points if j != i)[:5], 1)}
+
+    for points in (rows, rows[:3] + rows[500:505], rows[7:8] * 1):
+        asks = [r for r in rows if r[0] % 5 == 0 or r[0] >= 500]
+        q, p = (spark.createDataFrame(x, "id long, v array<double>") for x in (asks, points))
+        found = [tuple(r) for r in relational.nearest(q, p, "id", "v").select("query_id", "neighbour_id", "rank").collect()]
+        assert len(found) == len(set(found)) and set(found) == right(asks, points)
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert relational.nearest(none, none, "id", "v").count() == 0
