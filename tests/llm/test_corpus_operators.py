@@ -8,9 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.llm import _core as C
 from tabloom.llm import cover_tree, decontaminate, feistel_pii, host_paths, jaccard_join, katz, ppm_language, suffix_dedup, url_markov, vector_packing
 from tabloom.llm.queries import URL_RULES, tokenizer_file
 
@@ -538,3 +541,21 @@ def test_embedding_links(spark, monkeypatch, block):
             break
     assert {k: v for k, v in got.items() if k is not None} == {i: (links[i], low[i]) for i in low} and links
     assert cover_tree.near_duplicates(df.where("false")).count() == 0
+
+
+def test_blocks_stay_small_in_files_and_rows(spark, tmp_path):
+    big = spark.range(0, 60, 1, 1).select(F.col("id").alias("block"), F.expr("cast(array_join(transform(sequence(1, 20000), i -> sha2(cast(id * 20000 + i as string), 256)), '') as binary)").alias("text"))
+    wide = C.settle(big, "wide", wide=True)
+    groups = []
+    for f in wide.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata
+        groups += [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert wide.count() == 60 and max(groups) < 24 << 20  # Parquet's own check after 100 rows leaves all 77 MB in one
+    text = np.frombuffer(random.Random(3).randbytes(20_000) * 2, np.uint8)
+    chunk = next(suffix_dedup.chunks(text, np.array([len(text)]), 400))[1]
+    n = len(chunk.place)
+    ranks = [suffix_dedup.sparse(np.arange(1, n + 1))] * 4
+    nothing, everything = (np.packbits(np.full(n, x)).tobytes() for x in (False, True))
+    row = pa.RecordBatch.from_pylist([{"block": 0, "n": n, "ranks": ranks, "full": nothing, "asked": everything, "text": text.tobytes(), "sizes": np.array([len(text)]).tobytes()}])
+    out = next(suffix_dedup.open_positions(400)(iter([row])))
+    assert len(out.column("which")[0].as_py()) > 4 * 30_000 and out.nbytes < 21 * len(text)
