@@ -34,6 +34,8 @@ from tabloom.llm import _core as C
 
 #: A segment content shared by more sets than this is hot.
 HOT = 12
+#: Texts, or sets, of one task where there are few of them.
+TEXTS = 1 << 13
 _EMPTY = np.uint64(0x5EED)
 
 
@@ -326,11 +328,12 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, ke
     set is sent once to each block that needs it."""
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(8))), F.lit(8 * parts)).cast("int").alias("block"))
     salted = C.settle(salted, "pairs")
+    rows = 2 * salted.count()
     needed = salted.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = needed.join(classes.select("id", F.col("rep").alias(key)), "id").select("block", key, "id")
 
     whole = wanted.select(key, "id").distinct().join(docs.select(key, F.col(text).alias("text")), key).groupBy("id").agg(F.first("text").alias("text"))
-    items = C.settle(whole.select("id", "text").mapInArrow(to_sets(n), "id long, items binary"), "items")
+    items = C.settle(C.fewer(whole, rows, TEXTS).select("id", "text").mapInArrow(to_sets(n), "id long, items binary"), "items")
     sent = wanted.select("block", "id").join(items, "id").select("block", "id", F.lit(None).cast("long").alias("b"), "items")
     asked = salted.select("block", F.col("a").alias("id"), "b", F.lit(None).cast("binary").alias("items"))
 
@@ -351,7 +354,7 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, ke
                 good.append((a, b))
         return pa.table({"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())})
 
-    return sent.unionByName(asked).groupBy("block").applyInArrow(verify, "a long, b long")
+    return C.fewer(sent.unionByName(asked).groupBy("block").applyInArrow(verify, "a long, b long"), rows, TEXTS)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, hot: int = HOT) -> DataFrame:
@@ -359,8 +362,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     spark = docs.sparkSession
     parts = C.buckets(spark, 2)
     stats = C.settle(set_stats(docs, key, text, n, percent), "stats")
-    classes = C.settle(stats.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low")), "classes")
-    found = C.settle(index(docs, text, n, percent, parts).groupBy("bucket").applyInArrow(match(hot), _MATCHES), "matches")
+    rows, shingles = stats.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = stats.where("n > 0 and key is not null").groupBy("id").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.max("own").alias("own"), F.max("low").alias("low"))
+    classes = C.settle(C.fewer(classes, rows), "classes")
+    found = C.settle(C.fewer(index(docs, text, n, percent, parts).groupBy("bucket").applyInArrow(match(hot), _MATCHES), shingles), "matches")
 
     warm = found.where(F.col("kind") == HOT_OF).groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("b") == 0, F.col("alike"))).alias("hot_own"), F.sum(F.when(F.col("b") == 1, F.col("alike"))).alias("hot_low"))
     size = F.col("n")
@@ -374,7 +379,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     )
     apart = 100 - percent
     facts = C.settle(
-        facts.withColumn("hard_own", F.expr(f"own <= floor(n * {apart} / {percent})")).withColumn("hard_low", F.expr(f"n * {percent} <= 100 * (shiftleft(1L, band) - 1) and low <= floor(2 * n * {apart} / {100 + percent})")), "facts"
+        C.fewer(facts, rows).withColumn("hard_own", F.expr(f"own <= floor(n * {apart} / {percent})")).withColumn("hard_low", F.expr(f"n * {percent} <= 100 * (shiftleft(1L, band) - 1) and low <= floor(2 * n * {apart} / {100 + percent})")), "facts"
     )
 
     def with_facts(pairs: DataFrame) -> DataFrame:
@@ -397,7 +402,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
         (100 * F.col("mass") >= percent * (total - F.col("mass"))).alias("sure"),
         (((F.col("alike") > 0) & (F.col("alike") >= F.greatest(cold("a"), cold("b")) - most)) | ((F.col("star") == 1) & hard("a") & hard("b"))).alias("maybe"),
     )
-    judged = C.settle(judged.where("sure or maybe"), "judged")
+    judged = C.settle(C.fewer(judged.where("sure or maybe"), shingles), "judged")
     links = judged.where("sure").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     parts_of = C.settle(C.components(links), "parts")
 
@@ -419,11 +424,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     # what is left: pairs of two sets with too few cold segments. Their universe is parted once more, an element a segment
     unsure = C.settle(facts.where("hard_own or hard_low").select("id", F.col("rep").alias("key"), "n"), "unsure")
     texts = unsure.select("key").join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key").groupBy("key").agg(F.first("text").alias("text"))
-    found = C.settle(index(texts, "text", n, percent, parts, single=True).groupBy("bucket").applyInArrow(match(hot), _MATCHES), "elements")
+    shingles = unsure.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = C.settle(C.fewer(index(C.fewer(texts, unsure.count(), TEXTS), "text", n, percent, parts, single=True).groupBy("bucket").applyInArrow(match(hot), _MATCHES), shingles), "elements")
     warm = found.where(F.col("kind") == HOT_OF).groupBy(F.col("a").alias("id")).agg(F.sum("alike").alias("hot"))
     # a partner lacks at most a quarter of a set's elements: with more cold ones, one of those is shared
     few = unsure.join(warm, "id", "left").select("id", "key", "n", (F.col("n") - F.coalesce("hot", F.lit(0))).alias("cold"), F.expr(f"floor(n * {apart} / 100)").alias("lacks"))
-    few = C.settle(few, "few")
+    few = C.settle(C.fewer(few, rows), "few")
     sides = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("alike").alias("alike"))
     for side in "ab":
         sides = sides.join(few.select(F.col("id").alias(side), F.col("key").alias(f"rep_{side}"), F.col("n").alias(f"n_{side}"), F.col("cold").alias(f"cold_{side}")), side)
@@ -431,24 +437,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     sides = sides.where((F.col("alike") >= F.greatest(F.col("cold_a") - F.col("n_a"), F.col("cold_b") - F.col("n_b")) + least) & F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     # hot elements of sets that are nearly all hot: first each with the smallest set that has the element
     member = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("seg"), F.col("b").alias("id")).join(few.where("cold <= lacks"), "id")
-    member = C.settle(member.select("seg", "id", "key", "n", (F.col("lacks") + 1 - F.col("cold")).alias("needs")), "member")
-    pivot = C.settle(member.groupBy("seg").agg(F.min(F.struct("n", "id", "key")).alias("p"), F.count("*").alias("size")).select("seg", "size", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.key").alias("p_key")), "pivot")
+    member = C.settle(C.fewer(member, shingles).select("seg", "id", "key", "n", (F.col("lacks") + 1 - F.col("cold")).alias("needs")), "member")
+    pivot = member.groupBy("seg").agg(F.min(F.struct("n", "id", "key")).alias("p"), F.count("*").alias("size")).select("seg", "size", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.key").alias("p_key"))
+    pivot = C.settle(C.fewer(pivot, shingles), "pivot")
     star = member.join(pivot, "seg").where(F.expr(f"p <> id and 100 * least(n, p_n) >= {percent} * greatest(n, p_n)")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.expr("if(id < p, key, p_key)").alias("rep_a"), F.expr("if(id < p, p_key, key)").alias("rep_b"))
-    more = C.settle(sides.select("a", "b", "rep_a", "rep_b").unionByName(star.distinct()).distinct(), "more")
+    more = C.settle(C.fewer(sides.select("a", "b", "rep_a", "rep_b").unionByName(star.distinct()).distinct(), shingles), "more")
     chain = chain.unionByName(verified(apart_pairs(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"))))
     parts_of = C.settle(C.components(chain), "parts")
     # then, where different components meet in as many of its rarest elements as a set needs: families of such sets, by blocks
     order = W.partitionBy("id").orderBy("size", "seg")
     rare = member.join(pivot.select("seg", "size"), "seg").withColumn("place", F.row_number().over(order)).where("place <= needs")
     rare = rare.join(parts_of.select(F.col("id").alias("key"), "component"), "key", "left").select("seg", "id", "key", F.coalesce("component", "key").alias("c"))
-    rare = C.settle(rare, "rare")
-    mixed = C.settle(rare.groupBy("seg").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low < high").select("seg", "first"), "mixed")
+    rare = C.settle(C.fewer(rare, shingles), "rare")
+    mixed = rare.groupBy("seg").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("key").alias("first")).where("low < high").select("seg", "first")
+    mixed = C.settle(C.fewer(mixed, shingles), "mixed")
     met = rare.join(mixed, "seg").select(F.col("key").alias("a"), F.col("first").alias("b"))
     if not mixed.isEmpty():
         family = C.settle(C.components(met), "families")
         chain = chain.unionByName(C.settle(family_links(docs, family, key, text, n, percent), "family-links"))
         parts_of = C.settle(C.components(chain), "parts")
-    final = C.settle(classes.select("id", "rep").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")), "final")
-    return stats.join(final, "id", "left").select(
+    final = classes.select("id", "rep").join(parts_of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    final = C.settle(C.fewer(final, rows), "final")
+    return C.fewer(stats.join(final, "id", "left"), rows).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id")
     )

@@ -559,3 +559,33 @@ def test_blocks_stay_small_in_files_and_rows(spark, tmp_path):
     row = pa.RecordBatch.from_pylist([{"block": 0, "n": n, "ranks": ranks, "full": nothing, "asked": everything, "text": text.tobytes(), "sizes": np.array([len(text)]).tobytes()}])
     out = next(suffix_dedup.open_positions(400)(iter([row])))
     assert len(out.column("which")[0].as_py()) > 4 * 30_000 and out.nbytes < 21 * len(text)
+
+
+def test_components_of_few_edges_are_few_small_tables(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(k, k + 1) for k in range(2000, 2300)] + [(7, None), (None, 8), (5, 5)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in up}
+    made, settle = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda df, name="stage", wide=False: made.append(out := settle(df, name, wide)) or out)
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        edges = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+        found = C.components(edges)
+        assert {r["id"]: r["component"] for r in found.collect()} == want
+        assert found.count() == len(want)
+        assert len(made) == 2 and len(made[-1].inputFiles()) == 1  # was eight tables or more, of up to 211 files each
+        assert {r["id"]: r["component"] for r in C.components(edges, size=40).collect()} == want  # by steps, then contraction
+        assert C.components(edges.where("a < 0")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
