@@ -589,3 +589,16 @@ def test_components_of_few_edges_are_few_small_tables(spark, monkeypatch):
         assert C.components(edges.where("a < 0")).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_ranked_keys_are_in_stable_order():
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    close = (wide[:60, None] + np.arange(40, dtype=np.uint64)[::-1]).ravel()  # alike in all the bits that are sorted
+    every = [wide, close, np.repeat(close, 3), np.concatenate([close, close]), np.array([2**64 - 1, 0, 2**64 - 1], np.uint64), rng.integers(0, 50, 999), rng.integers(0, 2**32, 999).astype(np.uint32), np.zeros(0, np.uint64), np.full(7, 3)]
+    for keys in every:
+        for k in (keys, rng.permutation(keys)):
+            assert (katz.ranked(k) == np.argsort(k, kind="stable")).all()
+            found, which = katz.kinds_of(k)
+            want = np.unique(k, return_inverse=True)
+            assert (found == want[0]).all() and found.dtype == k.dtype and (which == want[1]).all()
