@@ -423,6 +423,18 @@ def test_repeats_are_removed_byte_by_byte(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_a_repeat_that_ends_with_its_string_is_found(spark):
+    # two texts share more than 400 bytes from each of these starts, a third one exactly 400: its string starts at a position that is settled in the other two
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = letters(900)
+    rows = [(k, base + "xy"[k] + letters(300)) for k in range(2)]
+    rows += [(10 + k, "-" + letters(100) + "_" + base[k : k + 400] + "_" + letters(100)) for k in range(380, 501)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert [(s.start, s.length) for k in range(2) for s in got[k].spans] == [(0, 900)] * 2
+    assert {i: [(s.start, s.length) for s in got[i].spans] for i, _ in rows[2:]} == {i: [(102, 400)] for i, _ in rows[2:]}
+
+
 def test_language_held_out_accuracy(spark, data):
     df = spark.read.parquet(f"{data}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "123 $$$"), (None, "the and of the")], "doc_id long, text string")
